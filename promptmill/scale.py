@@ -110,7 +110,8 @@ def salted_pairs(left: DataFrame, right: DataFrame, key: str, pairs_each: int =
     left, right = left.join(both, key, "left_semi"), right.join(both, key, "left_semi")
     if total <= limit:
         return left.join(right, key)
-    left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts)).otherwise(0).cast("int")).drop("_hot")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(0).cast("int")  # of the row: the same on a retry
+    left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [key, "_salt"]).drop("_salt")
