@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formatdup, leakage, textform
+from . import formatdup, leakage, nearsets, pairs, textform, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,24 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textform.forms(a.union(b), "prompt").select("origin", "row_id", "form").distinct()
 
 
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = truncation.values_of(_table(spark, sf_dir, "cache_records"), "record_id", "local_name", "payload", "cache_records")
+    return a.union(truncation.values_of(_table(spark, sf_dir, "set_requests"), "set_id", "upstream", "uncached_payload", "set_requests"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rows(_values(spark, sf_dir))
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut values per local_name of cache_records and per upstream of set_requests."""
+    return truncation.cut_shares(_values(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(_table(spark, sf_dir, "cache_records"))
+
+
 def _p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = formatdup.text_records(_table(spark, sf_dir, "check_requests"), "request_id", "prompt", "check_requests")
     return a.union(formatdup.json_records(_table(spark, sf_dir, "record_lines"), "line_id", "raw", "record_lines"))
@@ -41,12 +59,22 @@ def p4_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdup.collapsed(_p4_records(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = nearsets.similar_pairs(_table(spark, sf_dir, "cache_records"), "record_id", ("prompt", "payload"))
+    return got.select(F.col("lo").alias("record_lo"), F.col("hi").alias("record_hi"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record that has near-duplicates, its group and the number of its near-duplicates."""
+    return nearsets.groups(_table(spark, sf_dir, "cache_records"), "record_id", ("prompt", "payload"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "heldout_items"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p4_found, p4_distinct, p7_found)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p7_found)
 }
 
 ORACLES: dict[str, str] = {}
