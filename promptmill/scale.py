@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a side may have to be broadcast: a row of two longs takes some 50 bytes in a hashed relation.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 100_000
 
 _own_dirs: list[str] = []
 _shipped: set[str] = set()
