@@ -8,6 +8,7 @@ compared in their canonical form, so disguised characters hide nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -65,7 +66,9 @@ _quoted = re.compile(r"[\"“«„][^\"”»“\n]{3,}[\"”»“]")
 _literal_asked = re.compile(r"(?i)\b(?:answer|reply|respond|give|print|return|write|output)\b[^.?!\n]{0,30}\bonly\b|\bonly the\b|\bnothing but\b|\bnur (?:den|das|die|mit)\b|\b(?:seulement|uniquement|solo|solamente|únicamente)\b|только")
 _language_asked = re.compile("|".join(r"\b" + n + r"\b" for names in LANGUAGE_NAMES.values() for n in names))
 _structure = re.compile(r"```.*?(?:```|$)|^\s*[|{}\[\]].*$", re.S | re.M)
-_vote = {}
+_apart = re.compile(r"[^\w']+")
+_cyrillic = re.compile("[\u0400-\u04ff]")
+_vote: dict[str, list[str]] = {}
 for _l, _ws in FUNCTION_WORDS.items():
     for _w in set(_ws):
         _vote.setdefault(_w, []).append(_l)
@@ -121,24 +124,26 @@ class SuffixAutomaton:
         return out
 
 
-@lru_cache(maxsize=1)
-def _phrases() -> ahocorasick.Automaton:
+@lru_cache(maxsize=2)
+def _phrases(before: str = " ") -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for kind, phrases in (("refusal", REFUSALS), ("courtesy", COURTESIES)):
         for p in phrases:
-            a.add_word(f" {p}", kind)
+            a.add_word(before + p, kind)
     a.make_automaton()
     return a
 
 
 def _flat(text: str) -> str:
-    return " " + re.sub(r"[^\w']+", " ", text.lower().replace("’", "'"))
+    return " " + _apart.sub(" ", text.lower().replace("’", "'"))
 
 
 def is_empty(prompt: str | None, payload: str | None) -> bool:
     """Null, blank, or a filler, unless the prompt asks for just that literal."""
     if payload is None:
         return True
+    if len(payload) > 60 and _word.search(payload):
+        return False  # longer than any filler
     shown = textform.by_table(payload).strip()
     if not shown:
         return True
@@ -150,8 +155,9 @@ def is_empty(prompt: str | None, payload: str | None) -> bool:
 
 def is_refusal(payload: str) -> bool:
     """Every sentence declines or is a courtesy beside one that does. Declining phrases inside quotes don't count."""
-    if next(_phrases().iter(_flat(payload)), None) is None:
-        return False
+    low = " ".join(payload.lower().replace("’", "'").split())
+    if next(_phrases("").iter(low), None) is None:
+        return False  # no phrase even as part of words
     text = _quoted.sub(" ", payload)
     sentences = [s for s in _sentence.split(text) if s and _word.search(s)]
     kinds = [{k for _, k in _phrases().iter(_flat(s))} for s in sentences]
@@ -189,15 +195,13 @@ def asks_copy(prompt: str) -> bool:
 
 def language(text: str, least: int = 2) -> str | None:
     """The language with the most function words, if it has ``least`` and more than any other; Cyrillic text is Russian."""
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in text)
-    if cyrillic > 20 or cyrillic and cyrillic * 3 > sum(c.isalpha() for c in text):
+    if not text.isascii() and (cyrillic := len(_cyrillic.findall(text))) and (cyrillic > 20 or cyrillic * 3 > sum(map(str.isalpha, text))):
         return "ru"
-    votes = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in _word.findall(text.lower()):
-        for lang in _vote.get(w, ()):
-            votes[lang] += 1
-    first, second = sorted(votes.values(), reverse=True)[:2]
-    return max(votes, key=votes.get) if first >= least and first > second else None
+    votes = [lang for w in filter(_vote.__contains__, _word.findall(text.lower())) for lang in _vote[w]]
+    got = Counter(votes).most_common(2)
+    if not got or got[0][1] < least or len(got) > 1 and got[0][1] == got[1][1]:
+        return None
+    return got[0][0]
 
 
 def is_wrong_language(prompt: str, payload: str) -> bool:
@@ -244,8 +248,7 @@ def defects(pairs: DataFrame, row_id: str = "record_id", prompt: str = "prompt",
         for b in batches:
             got = []
             for i, s, p, a in zip(b["i"], b["s"], b["p"], b["a"], strict=True):
-                score = m.score("pairs", s, a)
-                if d := defect(p, a, score is not None and score > 0.5, form):
+                if d := defect(p, a, m.is_cut("pairs", s, a), form):
                     got.append((i, d))
             yield pd.DataFrame(got, columns=[row_id, "defect"])
 
