@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formatdup, leakage, nearsets, pairs, textform, truncation
+from . import formatdup, leakage, nearsets, packing, pairs, splitting, textform, truncation
+from .oracles import ORACLES  # noqa: F401 - read by the entry module
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +70,20 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearsets.groups(_table(spark, sf_dir, "cache_records"), "record_id", ("prompt", "payload"))
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, of 2048 tokens each."""
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "heldout_items"))
 
 
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents over 256 tokens, each repeating 32 tokens of the one before."""
+    return splitting.pieces(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p7_found)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p6_packing, p7_found, p8_pieces)
 }
-
-ORACLES: dict[str, str] = {}
