@@ -65,6 +65,7 @@ _sentence = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
 _quoted = re.compile(r"[\"“«„][^\"”»“\n]{3,}[\"”»“]")
 _literal_asked = re.compile(r"(?i)\b(?:answer|reply|respond|give|print|return|write|output)\b[^.?!\n]{0,30}\bonly\b|\bonly the\b|\bnothing but\b|\bnur (?:den|das|die|mit)\b|\b(?:seulement|uniquement|solo|solamente|únicamente)\b|только")
 _language_asked = re.compile("|".join(r"\b" + n + r"\b" for names in LANGUAGE_NAMES.values() for n in names))
+_structured = re.compile(r"```|[|{}\[\]]")
 _structure = re.compile(r"```.*?(?:```|$)|^\s*[|{}\[\]].*$", re.S | re.M)
 _apart = re.compile(r"[^\w']+")
 _cyrillic = re.compile("[\u0400-\u04ff]")
@@ -164,14 +165,12 @@ def is_refusal(payload: str) -> bool:
     return any("refusal" in k for k in kinds) and all(kinds)
 
 
-def is_echo(prompt: str, payload: str, least_share: float = 0.6, longest_own: int = 4) -> bool:
+def is_echo(prompt: str, asked: list[str], given: list[str], least_share: float = 0.6, longest_own: int = 4) -> bool:
     """The payload is made of runs of the prompt's words: little of its own, and nothing of its own in a row."""
-    asked, given = _word.findall(prompt.lower()), _word.findall(payload.lower())
     if len(given) < 3 or len(asked) < 3 or len(given) < len(asked) // 2:
         return False
-    pairs = set(zip(asked, asked[1:], strict=False))
-    if 2 * sum(p in pairs for p in zip(given, given[1:], strict=False)) < least_share * (len(given) - 1):
-        return False  # even pairs of words don't reach the share
+    if sum(map(set(asked).__contains__, given)) < least_share * len(given):
+        return False  # even single words don't reach the share
     got = SuffixAutomaton(asked).covered(given)
     run = worst = 0
     for c in got:
@@ -193,25 +192,27 @@ def asks_copy(prompt: str) -> bool:
     return any(w in COPY_VERBS for s in starts for w in s[:1] + (s[1:] if s[:1] in (["please"], ["bitte"]) else []))
 
 
-def language(text: str, least: int = 2) -> str | None:
+def language(text: str, words: list[str] | None = None, least: int = 2) -> str | None:
     """The language with the most function words, if it has ``least`` and more than any other; Cyrillic text is Russian."""
     if not text.isascii() and (cyrillic := len(_cyrillic.findall(text))) and (cyrillic > 20 or cyrillic * 3 > sum(map(str.isalpha, text))):
         return "ru"
-    votes = [lang for w in filter(_vote.__contains__, _word.findall(text.lower())) for lang in _vote[w]]
+    votes = [lang for w in filter(_vote.__contains__, _word.findall(text.lower()) if words is None else words) for lang in _vote[w]]
     got = Counter(votes).most_common(2)
     if not got or got[0][1] < least or len(got) > 1 and got[0][1] == got[1][1]:
         return None
     return got[0][0]
 
 
-def is_wrong_language(prompt: str, payload: str) -> bool:
-    prose = _structure.sub(" ", payload)
-    if len(_word.findall(prose)) < 4:
+def is_wrong_language(prompt: str, payload: str, asked_words: list[str], given_words: list[str]) -> bool:
+    if _structured.search(payload):
+        payload = _structure.sub(" ", payload)
+        given_words = _word.findall(payload.lower())
+    if len(given_words) < 4:
         return False
-    given = language(prose)
+    given = language(payload, given_words)
     if given is None:
         return False
-    asked = language(prompt)
+    asked = language(prompt, asked_words)
     if asked is None or asked == given:
         return False
     return not any(n in LANGUAGE_NAMES[given] for n in _language_asked.findall(prompt.lower()))
@@ -222,14 +223,15 @@ def defect(prompt: str | None, payload: str | None, cut: bool | None, form=textf
     if is_empty(prompt, payload):
         return "empty"
     p, a = form(prompt) if prompt else "", form(payload)
-    echoed = bool(p.strip()) and is_echo(p, a)
-    if cut and not (echoed and _word.findall(p.lower())[-1:] == _word.findall(a.lower())[-1:]):
+    asked, given = _word.findall(p.lower()), _word.findall(a.lower())
+    echoed = is_echo(p, asked, given)
+    if cut and not (echoed and asked[-1] == given[-1]):
         return "truncated"
     if is_refusal(a):
         return "refusal"
     if echoed:
         return "echo"
-    return "wrong_language" if p.strip() and is_wrong_language(p, a) else None
+    return "wrong_language" if is_wrong_language(p, a, asked, given) else None
 
 
 def defects(pairs: DataFrame, row_id: str = "record_id", prompt: str = "prompt", payload: str = "payload", source: str = "local_name", model: truncation.Model | None = None, vocabulary_path: str | None = textform.VOCABULARY) -> DataFrame:

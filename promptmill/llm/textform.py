@@ -41,6 +41,8 @@ _drop = re.compile(f"[{re.escape(_ignorable)}\U000e0000-\U000e0fff]+")
 _unseen = rf"\u0300-\u036f\u0483-\u0487\u20d0-\u20f0{re.escape(_ignorable)}\U000e0000-\U000e0fff"
 #: A word that has a character outside ASCII, and all of it.
 _odd_word = re.compile(rf"[A-Za-z0-9]*(?:(?![\x00-\x7f])[^\W_]|[{_unseen}])(?:[^\W_]|[{_unseen}])*")
+#: Text of plain Latin letters, each accent composed, and signs that stand for themselves: its table form is itself.
+_latin = re.compile("[\t\n -~\u00a1-\u00ac\u00ae-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2012-\u2015\u2018-\u201f\u2026\u20ac]*")
 _gap = re.compile(r"[^\x00-\x7f\w]+")
 _controls = re.compile("[\x00-\x08\x0e-\x1f\x7f\r]")
 #: Kinds of compatibility decomposition that leave the shape: width and font. Raised, circled and such are visible.
@@ -102,9 +104,9 @@ class Tries:
                 node = node.setdefault(unit, {})
             node.setdefault("", []).append(w)  # spellings that end here
         self.memo: dict[str, str] = {}
-        # Words in ASCII whose select spelling isn't the word itself: only these need care on the fast path.
-        self.ascii_other = {t: s for w in self.rank if not w.isascii() and (t := by_table(w)).isascii() and (s := self.select(t)) != t}
-        self.ascii_words = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, self.ascii_other)) + r")(?![^\W_]|[" + _unseen + "])")
+        # Table forms whose selected spelling is another: only these need care where a text has no odd characters.
+        self.other = {t: s for w in self.rank if not w.isascii() and _latin.fullmatch(t := one_script(by_table(w))) and (s := self.select(t)) != t}
+        self.other_words = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, self.other)) + r")(?![^\W_]|[" + _unseen + "])")
 
     @staticmethod
     def units(token: str) -> list[str]:
@@ -150,12 +152,12 @@ class Tries:
             return None
         if _controls.search(text):
             text = _drop.sub("", text).replace("\r\n", "\n")
-        if not text.isascii():
+        if not text.isascii() and not _latin.fullmatch(text):
             text = _odd_word.sub(self._token, text)
             if _gap.search(text):
                 text = _gap.sub(lambda m: by_table(m[0]), text)
             text = unicodedata.normalize("NFC", text)
-        return self.ascii_words.sub(lambda m: self.ascii_other.get(m[0], m[0]), text) if self.ascii_other else text
+        return self.other_words.sub(lambda m: self.other.get(m[0], m[0]), text) if self.other else text
 
     def _token(self, found: re.Match) -> str:
         token = found[0]
