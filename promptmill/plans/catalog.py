@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import corpus, search, traffic
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | traffic.QUERIES | corpus.QUERIES
+ORACLES: dict[str, str] = search.ORACLES | traffic.ORACLES | corpus.ORACLES

@@ -14,7 +14,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows a side may have to be broadcast: a row of two longs takes some 50 bytes in a hashed relation.
@@ -115,3 +115,36 @@ def salted_pairs(left: DataFrame, right: DataFrame, key: str, pairs_each: int =
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def running(df: DataFrame, keys: list[str], order: str, value, out: str, width: int = 50_000) -> DataFrame:
+    """Running total of ``value`` by the integer column ``order`` (unique per key) within ``keys``, added as ``out``.
+
+    Plain running windows put a whole key, or without keys everything, into one task. Here rows are taken in ranges of
+    ``width`` orders: totals per range are aggregated first and summed up over the few ranges, then each range is
+    summed by itself and shifted. The table of ranges has one row per key and range.
+    """
+    df = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / width))
+    sums = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    inner = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_i", F.sum("_v").over(inner)).join(sums, [*keys, "_b"]).withColumn(out, F.col("_i") + F.col("_o")).drop("_v", "_b", "_i", "_o")
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, hot_rows: int = 200_000, most_hot: int = 1000) -> DataFrame:
+    """Left join with a table that has one row per key, in which hot keys of the left side aren't shuffled together.
+
+    Keys with more than ``hot_rows`` rows and more than a ``most_hot``-th of all rows are at most ``most_hot``; their
+    right rows are broadcast, the rest is joined by shuffle (or by a broadcast, if Spark knows the table to be small).
+    """
+    counts = left.groupBy(key).count()
+    total = left.count()
+    if total <= hot_rows:
+        return left.join(right, key, "left")
+    hot = stage(counts.where(F.col("count") > max(hot_rows, total / most_hot)).where(F.col(key).isNotNull()).select(key), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    a = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, "left")
+    return a.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))
