@@ -96,7 +96,7 @@ class SemanticCache:
         """Bulk load of records (record_id, prompt, payload): (outcome, n) of inserted, already cached and skipped ones."""
         r = stage(records.select(F.col("record_id").alias("request_id"), "prompt", "payload"), "load")
         state = stage(self.check(r, now_ms), "checked")
-        got = self.commit(state.where("state = 'MISS' and node_id is not null").join(r, "request_id").select("node_id", "payload"), now_ms)
+        got = self.commit(state.where("state = 'MISS' and node_id is not null").select("request_id", "node_id").join(r, "request_id").select("node_id", "payload"), now_ms)
         done = state.join(got, "node_id", "left")
         outcome = F.when((F.col("state") == "MISS") & F.coalesce("success", F.lit(False)), "inserted").when(F.col("state").isin("HIT", "PENDING"), "already_cached").otherwise("skipped")
         return done.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
