@@ -27,7 +27,6 @@ def words_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-@F.pandas_udf("struct<prompt:string,payload:string>")
 def _usable(raw: pd.Series) -> pd.DataFrame:
     """Prompt and payload of a line that is a JSON object where both are strings; else nulls."""
     out = []
@@ -55,7 +54,7 @@ def json_records(df: DataFrame, row_id: str, raw: str, origin: str) -> DataFrame
     Order and spelling of fields, escapes and further fields make no difference.
     """
     ship(df.sparkSession)
-    df = df.select(F.lit(origin).alias("origin"), F.col(row_id).cast("bigint").alias("id"), _usable(F.col(raw)).alias("x"))
+    df = df.select(F.lit(origin).alias("origin"), F.col(row_id).cast("bigint").alias("id"), F.pandas_udf(_usable, "struct<prompt:string,payload:string>")(F.col(raw)).alias("x"))
     df = df.select("origin", "id", words_key(F.col("x.prompt")).alias("a"), words_key(F.col("x.payload")).alias("b"))
     return df.where("id is not null and a <> '' and b <> ''").select("origin", "id", F.concat_ws("\n", "a", "b").alias("key"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -66,7 +66,7 @@ _quoted = re.compile(r"[\"“«„][^\"”»“\n]{3,}[\"”»“]")
 _literal_asked = re.compile(r"(?i)\b(?:answer|reply|respond|give|print|return|write|output)\b[^.?!\n]{0,30}\bonly\b|\bonly the\b|\bnothing but\b|\bnur (?:den|das|die|mit)\b|\b(?:seulement|uniquement|solo|solamente|únicamente)\b|только")
 _language_asked = re.compile("|".join(r"\b" + n + r"\b" for names in LANGUAGE_NAMES.values() for n in names))
 _structured = re.compile(r"```|[|{}\[\]]")
-_structure = re.compile(r"```.*?(?:```|$)|^\s*[|{}\[\]].*$", re.S | re.M)
+_structure = re.compile(r"```.*?(?:```|\Z)|^\s*[|{}\[\]].*$", re.S | re.M)
 _apart = re.compile(r"[^\w']+")
 _cyrillic = re.compile("[\u0400-\u04ff]")
 _vote: dict[str, list[str]] = {}
@@ -218,7 +218,7 @@ def is_wrong_language(prompt: str, payload: str, asked_words: list[str], given_w
     return not any(n in LANGUAGE_NAMES[given] for n in _language_asked.findall(prompt.lower()))
 
 
-def defect(prompt: str | None, payload: str | None, cut: bool | None, form=textform.by_table) -> str | None:
+def defect(prompt: str | None, payload: str | None, cut: bool | None, form: Callable = textform.tries(None).form) -> str | None:
     """The defect of a pair, or None. ``cut``: what the truncation model says of the payload."""
     if is_empty(prompt, payload):
         return "empty"
@@ -234,15 +234,16 @@ def defect(prompt: str | None, payload: str | None, cut: bool | None, form=textf
     return "wrong_language" if is_wrong_language(p, a, asked, given) else None
 
 
-def defects(pairs: DataFrame, row_id: str = "record_id", prompt: str = "prompt", payload: str = "payload", source: str = "local_name", model: truncation.Model | None = None, vocabulary_path: str | None = textform.VOCABULARY) -> DataFrame:
+def defects(pairs: DataFrame, row_id: str = "record_id", prompt: str = "prompt", payload: str = "payload", source: str = "local_name", model: truncation.Model | None = None, origin: str = "pairs", vocabulary_path: str | None = textform.VOCABULARY) -> DataFrame:
     """(row_id, defect) of each pair that has one; one defect per row, the first of empty, truncated, refusal, echo, wrong_language.
 
+    ``model`` says what is cut (fitted on these payloads if none is given); ``origin`` is these rows' name in it.
     Rows without an id are left out; exact repeats come out once (of rows with one id and different texts, the
     smallest defect). A null or blank prompt alone is no defect. Other columns don't matter.
     """
     spark = pairs.sparkSession
     ship(spark)
-    model = model or truncation.train(truncation.values_of(pairs, row_id, source, payload, "pairs"))
+    model = model or truncation.train(truncation.values_of(pairs, row_id, source, payload, origin))
     held = spark.sparkContext.broadcast(model)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,7 +251,7 @@ def defects(pairs: DataFrame, row_id: str = "record_id", prompt: str = "prompt",
         for b in batches:
             got = []
             for i, s, p, a in zip(b["i"], b["s"], b["p"], b["a"], strict=True):
-                if d := defect(p, a, m.is_cut("pairs", s, a), form):
+                if d := defect(p, a, m.is_cut(origin, s, a), form):
                     got.append((i, d))
             yield pd.DataFrame(got, columns=[row_id, "defect"])
 

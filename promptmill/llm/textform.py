@@ -57,7 +57,7 @@ def prototype(ch: str) -> str:
         ch = JOINED[ch]
     elif unicodedata.category(ch) == "Zs":
         return " "
-    elif (kind := unicodedata.decomposition(ch)).startswith(SAME_SHAPE):
+    elif (kind := unicodedata.decomposition(ch)).startswith(SAME_SHAPE) or "\u2160" <= ch <= "\u217f" and " " in kind:  # Roman numerals
         return "".join(prototype(chr(int(x, 16))) for x in kind.split()[1:])
     return "".join(_shape.get(ord(c), c) for c in unicodedata.normalize("NFD", ch))
 
