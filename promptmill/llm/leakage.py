@@ -104,11 +104,11 @@ class Passages:
         return out
 
 
-def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", parts: tuple[str, ...] = ("prompt", "payload"), least: int = 12, block_rows: int = 5000) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", parts: tuple[str, ...] = ("prompt", "payload"), least: int = 12, block_rows: int = 5000, block_bytes: int = 16_000_000) -> DataFrame:
     """(doc_id, item_id): the document holds at least ``least`` consecutive words of one of the item's parts.
 
-    Items are a stated query set. They are taken in blocks of at most ``block_rows`` (of one hash class of item_id
-    each), so what a task holds is bounded; each block reads the documents. Parts with fewer than ``least`` words,
+    Items are a stated query set. They are taken in blocks of about ``block_rows`` and ``block_bytes`` (of one hash
+    class of item_id each), so what a task holds is bounded; each block reads the documents. Parts with fewer than ``least`` words,
     null or empty texts and null ids match nothing; each pair comes out once, however often ids or rows repeat.
     ``least`` must be at least 5.
     """
@@ -119,8 +119,8 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     docs = documents.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where("_d is not null and _t is not null")
     docs = parallel(docs)
     items = items.select(F.col(item_id).alias("_i"), *[F.col(p).alias(f"_p{k}") for k, p in enumerate(parts)]).where("_i is not null").distinct()
-    n = items.count()
-    blocks = max(1, -(-2 * n // block_rows)) if n > block_rows else 1
+    n, size = items.agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(F.octet_length(f"_p{k}"), F.lit(0)) for k in range(len(parts))), F.lit(0)).cast("bigint"))).first()
+    blocks = max(1, -(-n // block_rows), -(-(size or 0) // block_bytes))
     d_type, i_type = (dict(df.dtypes)[c] for df, c in ((docs, "_d"), (items, "_i")))
     schema = f"`{doc_id}` {d_type}, `{item_id}` {i_type}"
     out = []

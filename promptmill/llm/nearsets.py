@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import fits, join_bounded, parallel, salted_pairs, ship, stage
+from ..scale import fits, join_bounded, lookup, parallel, salted_pairs, ship, stage
 
 WORDS = re.compile(r"[^\W_]+")
 #: Words counted as frequent are at most this many: they get an exact place in the order; rarer ones are ordered by hash.
@@ -223,7 +223,10 @@ def linked(records: DataFrame, row_id: str, texts: tuple[str, str], similarity:
     light = boundary(sizes, mean_list, bounds) if light is None else light
     sets = stage(_prefixes(spread, frequent, least_words, bounds), "sets")
     shared = sets.groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("same", "rep")
-    members = stage(join_bounded(sets.select("id", "same"), shared, "same").select("id", "rep").distinct(), "members")
+    shared = stage(shared, "shared")
+    some = sets.select("id", "same")
+    some = some.join(F.broadcast(shared), "same") if fits(shared) else lookup(some, shared, "same").where("rep is not null")
+    members = stage(some.select("id", "rep").distinct(), "members")
     reps = sets.drop("same")
     others = members.where("id <> rep").select("id")
     reps = join_bounded(reps, others, "id", "left_anti")
@@ -264,11 +267,11 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     both = stage(edges.select("lo", "hi").union(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))), "edges")
     label = stage(nodes.select("id", F.col("id").alias("group_id")), "labels")
     for _ in range(most_rounds):
-        near = both.join(label, both["hi"] == label["id"]).groupBy(F.col("lo").alias("id")).agg(F.min("group_id").alias("g"))
+        near = lookup(both, label.select(F.col("id").alias("hi"), "group_id"), "hi").groupBy(F.col("lo").alias("id")).agg(F.min("group_id").alias("g"))
         hop = label.join(near, "id", "left").select("id", F.col("group_id").alias("old"), F.least("group_id", F.coalesce("g", "group_id")).alias("group_id"))
         hop = stage(hop, "hop")
-        up = hop.select(F.col("id").alias("p"), F.col("group_id").alias("pg"))
-        new = stage(hop.join(up, hop["group_id"] == up["p"]).select("id", "old", F.least("group_id", "pg").alias("group_id")), "labels")
+        up = hop.select(F.col("id").alias("group_id"), F.col("group_id").alias("pg"))
+        new = stage(lookup(hop, up, "group_id").select("id", "old", F.least("group_id", "pg").alias("group_id")), "labels")  # large groups are split
         if new.where("old <> group_id").isEmpty():
             return new.select("id", "group_id")
         label = new.select("id", "group_id")
