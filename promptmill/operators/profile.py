@@ -21,19 +21,15 @@ def distribution(sizes: DataFrame, most_tokens: int) -> DataFrame:
     return got.select("n", "min_bytes", "max_bytes", F.round("mean", 6).alias("mean_bytes"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(names)])
 
 
-def gate_errors(sizes: DataFrame, thresholds: DataFrame, most_tokens: int) -> DataFrame:
+def gate_errors(sizes: DataFrame, thresholds: list[int], most_tokens: int) -> DataFrame:
     """(threshold, fp, fn): valid rows above each byte threshold and over-limit rows at or below it.
 
-    Rows are counted by byte length first, so the join with the thresholds sees one row per length.
+    Rows are counted by byte length first, so only a row per length is repeated for each threshold.
     """
     by = sizes.groupBy("n_bytes").agg(F.count_if(F.col("n_tokens") <= most_tokens).alias("valid"), F.count_if(F.col("n_tokens") > most_tokens).alias("over"))
-    over = by["n_bytes"] > thresholds["threshold"]
-    pairs = by.join(F.broadcast(thresholds), F.lit(True))
-    return pairs.groupBy("threshold").agg(F.sum(F.when(over, F.col("valid")).otherwise(0)).alias("fp"), F.sum(F.when(over, 0).otherwise(F.col("over"))).alias("fn"))
-
-
-def steps(spark: SparkSession, first: int, last: int, step: int) -> DataFrame:
-    return spark.range(first, last + 1, step).select(F.col("id").cast("int").alias("threshold"))
+    each = by.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    over = F.col("n_bytes") > F.col("threshold")
+    return each.groupBy("threshold").agg(F.sum(F.when(over, F.col("valid")).otherwise(0)).alias("fp"), F.sum(F.when(over, 0).otherwise(F.col("over"))).alias("fn"))
 
 
 def tokens(df: DataFrame, text: str) -> DataFrame:

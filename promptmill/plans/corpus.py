@@ -100,11 +100,11 @@ def length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_fp_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of ten fixed byte thresholds."""
-    return profile.gate_errors(_sizes(spark, sf_dir), spark.createDataFrame([(x,) for x in FIXED], "threshold int"), TOKENS)
+    return profile.gate_errors(_sizes(spark, sf_dir), list(FIXED), TOKENS)
 
 
 def fp_fn_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.gate_errors(_sizes(spark, sf_dir), profile.steps(spark, 10, 600, 10), TOKENS)
+    return profile.gate_errors(_sizes(spark, sf_dir), list(range(10, 601, 10)), TOKENS)
 
 
 def token_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +123,11 @@ def token_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts in 40 equal bins of byte length; lengths are counted first."""
     by = _sizes(spark, sf_dir).groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n"))
-    ends = by.agg(F.min("n_bytes").alias("lo"), F.max("n_bytes").alias("hi"))
-    x = by.join(F.broadcast(ends), F.lit(True))
-    bin_ = F.least(F.lit(39), F.floor((F.col("n_bytes") - F.col("lo")) * 40 / (F.col("hi") - F.col("lo")))).cast("int")
-    return x.groupBy(bin_.alias("bin")).agg(F.sum("n").alias("n"))
+    lo, hi = by.agg(F.min("n_bytes"), F.max("n_bytes")).first()
+    if lo is None:
+        return by.select(F.lit(0).alias("bin"), "n")
+    bin_ = F.least(F.lit(39), F.floor((F.col("n_bytes") - lo) * 40 / max(hi - lo, 1))).cast("int")
+    return by.groupBy(bin_.alias("bin")).agg(F.sum("n").alias("n"))
 
 
 def length_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,8 +144,8 @@ def ivf_reassign_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeanspp_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second seed of k-means++ after vector 0, picked by squared distances."""
     v = _vectors(spark, sf_dir)
-    seed = v.where("vec_id = 0").select(F.col("v").alias("s"))
-    w = v.join(F.broadcast(seed.limit(1)), F.lit(True)).select("vec_id", F.greatest(F.lit(0.0), vectors.chord(vectors.dot(F.col("v"), F.col("s")))).alias("w"))
+    seed = F.array(*[F.lit(float(x)) for x in v.where("vec_id = 0").first()["v"]])
+    w = v.select("vec_id", F.greatest(F.lit(0.0), vectors.chord(vectors.dot(F.col("v"), seed))).alias("w"))
     return ivf.weighted_pick(w, SHARE).withColumn("total", F.round("total", 6))
 
 

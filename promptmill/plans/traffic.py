@@ -64,8 +64,8 @@ def admission_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idle_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients without a request for a day before the last one of all."""
     c = _clients(spark, sf_dir)
-    now = c.agg(F.max("last").alias("now"))
-    return c.join(F.broadcast(now), F.lit(True)).where(F.col("now") - F.col("last") > DAY).select("client_ip", (F.col("now") - F.col("last")).alias("idle_ms"))
+    idle = F.lit(c.agg(F.max("last")).first()[0]).cast("bigint") - F.col("last")
+    return c.select("client_ip", idle.alias("idle_ms")).where(F.col("idle_ms") > DAY)
 
 
 def lfu_victim(spark: SparkSession, sf_dir: str) -> DataFrame:

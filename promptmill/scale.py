@@ -75,7 +75,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def parallel(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Spread a table whose files give fewer tasks than the cluster has cores (a single small file gives one)."""
+    """Spread a table whose files give fewer tasks than the cluster has cores (a single small file gives one).
+
+    Plans with an exchange are left alone: they are spread already, and counting their partitions would run them.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
