@@ -86,10 +86,10 @@ def one_script(form: str) -> str:
 
 
 class Tries:
-    """Vocabulary words in tries, one for each length class of their prototype form, walked by a weighted automaton.
+    """Vocabulary words in tries (one below each first shape), walked by a weighted edit automaton.
 
-    ``words`` come in order of preference. A path spells a word's own characters; the automaton compares them with
-    a token's by shape. Costs: look-alike 0, ignorable 0, other insertion, deletion or replacement 1 each.
+    ``words`` come in order of preference. An edge is a shape, so all look-alike spellings of a word share a path, and
+    a leaf holds the spellings that end there. Costs: look-alike 0, ignorable 0, other insertion, deletion or replacement 1 each.
     """
 
     def __init__(self, words: Iterable[str] = ()) -> None:
