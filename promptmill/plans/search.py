@@ -122,7 +122,7 @@ def ivf_capacity_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     new = ivf.lloyd(ivf.assign(v, _centroids(v)))
-    return new.select("cluster_id", F.posexplode("v").alias("dim", "value")).withColumn("value", F.round("value", 6))
+    return new.select("cluster_id", F.posexplode("v").alias("dim", "value")).withColumn("value", F.round("value", 6) + 0.0)  # no negative zero
 
 
 def kmeans_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ g AS (SELECT nprobe, query_id, vec_id, row_number() OVER (PARTITION BY nprobe, q
 SELECT nprobe::INT AS nprobe, round(count(g.vec_id) / count(*), 6) AS recall FROM (SELECT unnest([1, 4, 12, 16]) AS nprobe) n CROSS JOIN t
 LEFT JOIN (SELECT * FROM g WHERE rnk <= 10) g USING (nprobe, query_id, vec_id) GROUP BY 1""",
     "ivf_capacity_overflow": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} SELECT vec_id, cluster_id, pos FROM (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY vec_id) AS pos FROM a) WHERE pos > 40",
-    "kmeans_lloyd_step": f"WITH {_V}, {_C}, {_LLOYD} SELECT cluster_id, dim::INT AS dim, round(x, 6) AS value FROM l",
+    "kmeans_lloyd_step": f"WITH {_V}, {_C}, {_LLOYD} SELECT cluster_id, dim::INT AS dim, round(x, 6) + 0.0::DOUBLE AS value FROM l",
     "kmeans_movement": f"WITH {_V}, {_C}, {_LLOYD} SELECT round(sum(2 * (1 - list_dot_product(c.v, lv.v))), 6) AS movement FROM c JOIN lv USING (cluster_id)",
     "ivf_reassign_diff": f"WITH {_V}, {_C}, {_LLOYD}, {_assign('z', 'v', 'lv')} SELECT vec_id, a.cluster_id AS old_cluster, z.cluster_id AS new_cluster FROM a JOIN z USING (vec_id) WHERE a.cluster_id <> z.cluster_id",
     "kmeanspp_step": f"""WITH {_V}, w AS (SELECT v.vec_id, greatest(0, 2 * (1 - list_dot_product(v.v, s.v))) AS w FROM v CROSS JOIN (SELECT v FROM v WHERE vec_id = 0) s),
