@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..model import TOP_K
 from ..scale import parallel, running, ship, stage
-from .vectors import DECIMALS, best, matrix, merge
+from .vectors import DECIMALS, best, matrix, merge, normalise
 
 MOST_CLUSTERS = 65_536
 
@@ -99,8 +99,7 @@ def lloyd(assigned: DataFrame) -> DataFrame:
     parts = assigned.select("cluster_id", "v").mapInPandas(sums, "cluster_id int, dim int, x double")
     total = parts.groupBy("cluster_id", "dim").agg(F.sum("x").alias("x"))
     vec = total.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return vec.select("cluster_id", F.transform("v", lambda x: x / norm).alias("v"))
+    return vec.select("cluster_id", normalise(F.col("v")).alias("v"))
 
 
 def capacity_positions(assigned: DataFrame, width: int = 50_000) -> DataFrame:

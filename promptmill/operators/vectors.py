@@ -6,7 +6,7 @@ with one matrix product and keeps its own best k, and the partial lists are merg
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -39,10 +39,18 @@ def is_degenerate(a: Column, least: float = 1e-9) -> Column:
     return squared(a) < least
 
 
-def normalise(a: Column) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, even where ``body`` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def normalise(a: Column, least: float = 1e-9) -> Column:
     """Unit vector; null for a degenerate one."""
-    n = F.sqrt(squared(a))
-    return F.when(~is_degenerate(a), F.transform(a, lambda x: x.cast("double") / n))
+
+    def scaled(v: Column) -> Column:
+        return let(squared(v), lambda s: F.when(s >= least, let(F.sqrt(s), lambda n: F.transform(v, lambda x: x.cast("double") / n))))
+
+    return let(a, scaled)
 
 
 def chord(cosine: Column) -> Column:
