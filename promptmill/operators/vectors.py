@@ -108,8 +108,9 @@ def _search(held, k: int):
             if not len(b):
                 continue
             ids = b["vec_id"].to_numpy(np.int64)
-            rows, cols = best(q @ matrix(b["v"]).T, ids, k)
-            scores = np.round((q[rows] * matrix(b["v"])[cols]).sum(1), DECIMALS)
+            v = matrix(b["v"])
+            rows, cols = best(q @ v.T, ids, k)
+            scores = np.round((q[rows] * v[cols]).sum(1), DECIMALS)
             new = pd.DataFrame({"query_id": query_ids[rows], "vec_id": ids[cols], "score": scores})
             kept = new if kept is None else pd.concat([kept, new])
             kept = kept.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
