@@ -11,6 +11,8 @@ from ..operators import cache, encode, ivf, vectors
 from ..scale import running, stage
 
 CLUSTERS = 16
+#: Clusters that the ``*_recall90`` searches probe: the fewest of those that ivf_recall tries that reach a recall of 0.9 here.
+NPROBE = 12
 DIMENSIONS = 64
 #: Share of the total weight at which the next seed is picked: a pseudo-random number from a hash.
 SHARE = int(hashlib.md5(b"seed-1").hexdigest()[:8], 16) / 2**32
@@ -52,14 +54,23 @@ def _centroids(v: DataFrame) -> DataFrame:
     return ivf.bootstrap(v, CLUSTERS)
 
 
-def lookup_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HIT or MISS for every request vector by a probe of its nearest cluster."""
+def _lookup(spark: SparkSession, sf_dir: str, nprobe: int) -> DataFrame:
     v = _vectors(spark, sf_dir)
     c = _centroids(v)
-    found = ivf.search(_derived(spark, sf_dir), ivf.assign(v, c).drop("score"), c, k=1)
+    found = ivf.search(_derived(spark, sf_dir), ivf.assign(v, c).drop("score"), c, k=1, nprobe=nprobe)
     return cache.decide(found)
 
 
+def lookup_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HIT or MISS for every request vector by a probe of its nearest cluster alone: the reference-compatible variant, which misses hits."""
+    return _lookup(spark, sf_dir, 1)
+
+
+def lookup_decision_recall90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a probe of the ``NPROBE`` nearest clusters."""
+    return _lookup(spark, sf_dir, NPROBE)
+
+
 def lookup_decision_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by exact search, for the stated query set."""
     return cache.decide(vectors.top_k(_derived(spark, sf_dir).where("query_id % 100 = 0"), _vectors(spark, sf_dir), 1))
@@ -84,21 +95,40 @@ def ivf_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.assign(v, _centroids(v)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ivf_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _probed(spark: SparkSession, sf_dir: str, nprobe: int) -> DataFrame:
     v = _vectors(spark, sf_dir)
     c = _centroids(v)
-    return _scored(ivf.search(_queries(v), ivf.assign(v, c).drop("score"), c))
+    return _scored(ivf.search(_queries(v), ivf.assign(v, c).drop("score"), c, nprobe=nprobe))
 
 
-def two_tier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best of a flat tier (every tenth vector) and of a probed clustered tier (the rest) in one list."""
+def ivf_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest in the nearest cluster alone: the reference-compatible variant, of low recall (see ivf_recall)."""
+    return _probed(spark, sf_dir, 1)
+
+
+def ivf_probe_topk_recall90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest in the ``NPROBE`` nearest clusters."""
+    return _probed(spark, sf_dir, NPROBE)
+
+
+def _two_tiers(spark: SparkSession, sf_dir: str, nprobe: int) -> DataFrame:
     v = _vectors(spark, sf_dir)
     c = _centroids(v)
     flat, rest = v.where("vec_id % 10 = 5"), v.where("vec_id % 10 <> 5")
-    found = vectors.top_k(_queries(v), flat).unionByName(ivf.search(_queries(v), ivf.assign(rest, c).drop("score"), c))
+    found = vectors.top_k(_queries(v), flat).unionByName(ivf.search(_queries(v), ivf.assign(rest, c).drop("score"), c, nprobe=nprobe))
     return _scored(vectors.merge(found, 10))
 
 
+def two_tier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of a flat tier (every tenth vector) and of the nearest cluster of a clustered tier (the rest) in one list: the reference-compatible variant."""
+    return _two_tiers(spark, sf_dir, 1)
+
+
+def two_tier_candidates_recall90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the ``NPROBE`` nearest clusters of the clustered tier."""
+    return _two_tiers(spark, sf_dir, NPROBE)
+
+
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact ten nearest that the index finds, by number of clusters probed. 12 of 16 reach 0.9."""
     v = _vectors(spark, sf_dir)
@@ -190,6 +220,7 @@ _TOP = """SELECT query_id, vec_id, rnk::INT AS rnk, round(s, 6) AS score FROM (
   SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rnk FROM ({pairs})) WHERE rnk <= {k}"""
 _PAIRS = "SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.v, v.v), 12) AS s FROM v q CROSS JOIN v WHERE q.vec_id % 100 = 0"
 _PROBED = "SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM a q JOIN a m USING (cluster_id) WHERE q.vec_id % 100 = 0"
+_PROBED_MORE = "SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM p q JOIN a m USING (cluster_id) WHERE q.vec_id % 100 = 0"
 _DERIVED = """n AS (SELECT count(*) AS n FROM v),
 b AS (SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda p: (0.5 + 0.5 * (a.vec_id % 10) / 9) * p[1] + (0.5 - 0.5 * (a.vec_id % 10) / 9) * p[2]) AS v
       FROM v a CROSS JOIN n JOIN v b ON b.vec_id = (a.vec_id + 1) % n.n),
@@ -207,6 +238,8 @@ ORACLES = {
     "topk_threshold": f"WITH {_V} SELECT * FROM (" + _TOP.format(pairs=_PAIRS, k=10) + ") WHERE score >= 0.3",
     "lookup_decision": f"WITH {_V}, {_C}, {_DERIVED}, {_assign('a', 'v', 'c')}, {_assign('p', 'd', 'c')} "
     + _DECIDE.format(pairs="SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM p q JOIN a m USING (cluster_id)"),
+    "lookup_decision_recall90": f"WITH {_V}, {_C}, {_DERIVED}, {_assign('a', 'v', 'c')}, {_assign('p', 'd', 'c', n=NPROBE)} "
+    + _DECIDE.format(pairs="SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM p q JOIN a m USING (cluster_id)"),
     "lookup_decision_exact": f"WITH {_V}, {_DERIVED} " + _DECIDE.format(pairs="SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.v, v.v), 12) AS s FROM d q CROSS JOIN v WHERE q.vec_id % 100 = 0"),
     "lookup_replay": f"""WITH RECURSIVE {_V}, {_C}, {_assign("a", "v", "c")},
 g AS (SELECT x.vec_id, x.cluster_id, list({{'s': -s, 'i': y}} ORDER BY s DESC, y) FILTER (y IS NOT NULL) AS near FROM a x
@@ -224,6 +257,9 @@ SELECT vec_id, cluster_id, CASE WHEN matched IS NULL THEN 'MISS' ELSE 'HIT' END
     "ivf_probe_topk": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} " + _TOP.format(pairs=_PROBED, k=10),
     "two_tier_candidates": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} "
     + _TOP.format(pairs="SELECT * FROM (" + _PROBED + " AND m.vec_id % 10 <> 5) UNION ALL SELECT * FROM (" + _PAIRS + " AND v.vec_id % 10 = 5)", k=10),
+    "ivf_probe_topk_recall90": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')}, {_assign('p', 'v', 'c', n=NPROBE)} " + _TOP.format(pairs=_PROBED_MORE, k=10),
+    "two_tier_candidates_recall90": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')}, {_assign('p', 'v', 'c', n=NPROBE)} "
+    + _TOP.format(pairs="SELECT * FROM (" + _PROBED_MORE + " AND m.vec_id % 10 <> 5) UNION ALL SELECT * FROM (" + _PAIRS + " AND v.vec_id % 10 = 5)", k=10),
     "ivf_recall": f"WITH {_V}, {_C}, t AS (SELECT query_id, vec_id FROM (" + _TOP.format(pairs=_PAIRS, k=10) + f""")),
 {_assign("a", "v", "c")}, {_assign("p", "v", "c", n=CLUSTERS)},
 g AS (SELECT nprobe, query_id, vec_id, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY s DESC, vec_id) AS rnk FROM (
@@ -252,7 +288,8 @@ SELECT query_id, vec_id, round(s, 6) AS score FROM r WHERE rnk <= 11 AND query_i
 QUERIES = {
     f.__name__: f
     for f in (
-        topk_exact, topk_threshold, lookup_decision, lookup_decision_exact, lookup_replay, ivf_bootstrap, ivf_assign, ivf_cluster_sizes, ivf_probe_topk, two_tier_candidates, ivf_recall,
+        topk_exact, topk_threshold, lookup_decision, lookup_decision_recall90, lookup_decision_exact, lookup_replay, ivf_bootstrap, ivf_assign, ivf_cluster_sizes, ivf_probe_topk, ivf_probe_topk_recall90,
+        two_tier_candidates, two_tier_candidates_recall90, ivf_recall,
         ivf_capacity_overflow, kmeans_lloyd_step, kmeans_movement, ivf_reassign_diff, kmeanspp_step, kmeans_minibatch, recalibration_trigger, vector_health, semantic_near_dups,
     )
 }
