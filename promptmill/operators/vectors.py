@@ -120,6 +120,45 @@ def _search(held, k: int):
     return search
 
 
+def within(queries: DataFrame, vectors: DataFrame, least: float, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, score): all vectors with a dot product of ``least`` or more with each query, however many.
+
+    Sides, blocks and nulls are those of ``top_k``; a pair that comes twice counts once. Pairs leave as they are found.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    schema = "query_id bigint, vec_id bigint, score double"
+    queries = queries.where("query_id is not null and v is not null").select("query_id", "v")
+    vectors = parallel(vectors.where("vec_id is not null and v is not null").select("vec_id", "v"))
+    n = queries.count()
+    blocks = max(1, -(-2 * n // query_block)) if n > query_block else 1
+    found = []
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pdf = block.toPandas()
+        if len(pdf):
+            held = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(np.int64), matrix(pdf["v"])))
+            found.append(vectors.mapInPandas(_within(held, least), schema))
+    return reduce(DataFrame.unionAll, found).dropDuplicates(["query_id", "vec_id"]) if found else spark.createDataFrame([], schema)
+
+
+def _within(held, least: float, rows_each: int = 1024):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query_ids, q = held.value
+        for batch in batches:
+            for at in range(0, len(batch), rows_each):
+                b = batch.iloc[at : at + rows_each]
+                ids, v = b["vec_id"].to_numpy(np.int64), matrix(b["v"])
+                rows, cols = np.nonzero(q @ v.T >= least - 1e-9)
+                for k in range(0, len(rows), 8192):  # bounds the rows held for the sums, however many pairs there are
+                    r, c = rows[k : k + 8192], cols[k : k + 8192]
+                    scores = np.round((q[r] * v[c]).sum(1), DECIMALS)
+                    ok = scores >= least
+                    yield pd.DataFrame({"query_id": query_ids[r[ok]], "vec_id": ids[c[ok]], "score": scores[ok]})
+
+    return search
+
+
 def merge(partial: DataFrame, k: int) -> DataFrame:
     """Best k per query of partial lists; (query_id, vec_id) that come twice count once."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -199,13 +199,24 @@ def vector_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents like the stated ones (doc_id divisible by 100) by hashed words: the ten best at 0.6 or above."""
+    """Documents like the stated ones (doc_id divisible by 100) by hashed words: the ten best at 0.6 or above.
+
+    Texts over the reference's 1536 bytes for prompts take no part; semantic_near_dups_all has all texts and all partners.
+    """
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.octet_length("text") <= 1536)
     v = stage(encode.encode(d, "doc_id", "text"), "vectors")
     found = vectors.top_k(_queries(v), v, 11).where("query_id <> vec_id")
     return found.where("score >= 0.6").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+def semantic_near_dups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, of any length, like the stated ones (doc_id divisible by 100) at 0.6 or above."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    v = stage(encode.encode(d, "doc_id", "text"), "vectors")
+    found = vectors.within(_queries(v), v, 0.6).where("query_id <> vec_id")
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 _V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
 _C = f"c AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS cluster_id, vec_id, v FROM v ORDER BY vec_id LIMIT {CLUSTERS})"
 _NEAR = "round(list_dot_product({a}, {b}), 12)"
@@ -283,6 +294,12 @@ e AS (SELECT doc_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FRO
 s AS (SELECT q.doc_id AS query_id, d.doc_id AS vec_id, round(sum(q.x * d.x), 12) AS s FROM e q JOIN e d USING (b) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rnk FROM s)
 SELECT query_id, vec_id, round(s, 6) AS score FROM r WHERE rnk <= 11 AND query_id <> vec_id AND s >= 0.6""",
+    "semantic_near_dups_all": r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INT % 384 AS b, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+e AS (SELECT doc_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM b),
+s AS (SELECT q.doc_id AS query_id, d.doc_id AS vec_id, round(sum(q.x * d.x), 12) AS s FROM e q JOIN e d USING (b) WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, vec_id, round(s, 6) AS score FROM s WHERE query_id <> vec_id AND s >= 0.6""",
 }
 
 QUERIES = {
@@ -290,6 +307,6 @@ QUERIES = {
     for f in (
         topk_exact, topk_threshold, lookup_decision, lookup_decision_recall90, lookup_decision_exact, lookup_replay, ivf_bootstrap, ivf_assign, ivf_cluster_sizes, ivf_probe_topk, ivf_probe_topk_recall90,
         two_tier_candidates, two_tier_candidates_recall90, ivf_recall,
-        ivf_capacity_overflow, kmeans_lloyd_step, kmeans_movement, ivf_reassign_diff, kmeanspp_step, kmeans_minibatch, recalibration_trigger, vector_health, semantic_near_dups,
+        ivf_capacity_overflow, kmeans_lloyd_step, kmeans_movement, ivf_reassign_diff, kmeanspp_step, kmeans_minibatch, recalibration_trigger, vector_health, semantic_near_dups, semantic_near_dups_all,
     )
 }

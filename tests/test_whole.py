@@ -1,5 +1,7 @@
 """Queries that do the whole job where the one of the first name keeps a limit of the reference."""
 
+import pytest
+
 from promptmill.operators import cache, vectors
 from promptmill.plans import catalog, search
 
@@ -23,3 +25,20 @@ def test_registered_lookup_finds_the_hits(spark):
     exact = hits(cache.decide(vectors.top_k(search._derived(spark, DATA), search._vectors(spark, DATA), 1)))
     got = hits(catalog.QUERIES["lookup_decision_recall90"](spark, DATA))
     assert exact and got <= exact and len(got) >= 0.99 * len(exact)
+
+
+@pytest.mark.parametrize("block", [4096, 1])
+def test_within_gives_all_partners(spark, block):
+    x = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] + [(40, [0.0, 1.0]), (None, [1.0, 0.0]), (41, None)], "vec_id bigint, v array<double>")
+    q = x.where("vec_id in (0, 40)").withColumnRenamed("vec_id", "query_id")
+    got = {(r["query_id"], r["vec_id"]) for r in vectors.within(q, x, 0.6, block).collect()}
+    assert got == {(0, i) for i in range(30)} | {(40, 40)}
+    assert vectors.within(q.where("false"), x, 0.6).count() == 0
+
+
+def test_near_dups_of_long_texts_and_large_groups(spark, tmp_path):
+    long, short = "long guide of many words " * 100, "a short note"
+    rows = [(100, long), (101, long + "more")] + [(200 + i, short) for i in range(30)] + [(300, None), (301, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query_id"], r["vec_id"]) for r in catalog.QUERIES["semantic_near_dups_all"](spark, str(tmp_path)).collect()}
+    assert got == {(100, 101)} | {(200, 200 + i) for i in range(1, 30)}
