@@ -60,6 +60,16 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def validation_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file: characters of the prompts and payloads of the passed lines; nulls for a file without one."""
+    j = _judged(spark, sf_dir)
+    cols = []
+    for name in ("prompt", "payload"):
+        n = F.when(F.col("violation").isNull(), F.char_length(F.get_json_object("raw", f"$.{name}")))
+        cols += [F.min(n).alias(f"min_{name}_chars"), F.max(n).alias(f"max_{name}_chars"), F.round(F.avg(n), 6).alias(f"mean_{name}_chars")]
+    return j.groupBy("local_name").agg(*cols)
+
+
 def precache_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk load per file: lines inserted, cached already (the prompt came in an earlier line) and skipped."""
     j = _judged(spark, sf_dir)
@@ -103,6 +113,13 @@ def threshold_fp_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.gate_errors(_sizes(spark, sf_dir), list(FIXED), TOKENS)
 
 
+def threshold_zero_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least byte threshold that rejects no prompt within the token limit, and its errors; no row if there is no such prompt."""
+    sizes = _sizes(spark, sf_dir)
+    most = sizes.where(F.col("n_tokens") <= TOKENS).agg(F.max("n_bytes")).first()[0]
+    return profile.gate_errors(sizes if most is not None else sizes.where("false"), [most or 0], TOKENS)
+
+
 def fp_fn_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.gate_errors(_sizes(spark, sf_dir), list(range(10, 601, 10)), TOKENS)
 
@@ -188,6 +205,8 @@ SELECT line_id, json_extract_string(raw, '$.prompt') AS p, json_extract_string(r
     "validation_summary": f"""WITH {_J}, k AS (SELECT local_name, violation, CASE WHEN violation IS NULL THEN {_TOKENS.format("json_extract_string(raw, '$.prompt')")} END AS n FROM j)
 SELECT local_name, count(*) FILTER (violation IS DISTINCT FROM 'BLANK') AS total, count(*) FILTER (violation IS NULL) AS passed, count(*) FILTER (violation <> 'BLANK') AS violations, count(*) FILTER (violation = 'BLANK') AS blank,
 count(*) FILTER (n > {TOKENS}) AS over_limit, min(n)::INT AS min_tokens, max(n)::INT AS max_tokens, round(avg(n), 6) AS mean_tokens FROM k GROUP BY 1""",
+    "validation_lengths": f"""WITH {_J}, k AS (SELECT local_name, CASE WHEN violation IS NULL THEN length(json_extract_string(raw, '$.prompt')) END AS p, CASE WHEN violation IS NULL THEN length(json_extract_string(raw, '$.payload')) END AS a FROM j)
+SELECT local_name, min(p)::INT AS min_prompt_chars, max(p)::INT AS max_prompt_chars, round(avg(p), 6) AS mean_prompt_chars, min(a)::INT AS min_payload_chars, max(a)::INT AS max_payload_chars, round(avg(a), 6) AS mean_payload_chars FROM k GROUP BY 1""",
     "precache_outcomes": f"""WITH {_J}, h AS (SELECT line_id, local_name, CASE WHEN violation IS NULL OR violation = 'EXTRA_KEYS' THEN json_extract_string(raw, '$.prompt') END AS p FROM j),
 o AS (SELECT local_name, p, p IS NOT NULL AND line_id = min(line_id) OVER (PARTITION BY p) AS first FROM h)
 SELECT local_name, count(*) AS total, count(*) FILTER (first) AS inserted, count(*) FILTER (p IS NOT NULL AND NOT first) AS already_cached, count(*) FILTER (p IS NULL) AS skipped FROM o GROUP BY 1""",
@@ -199,6 +218,7 @@ SELECT record_id, tag, {_K}, strlen(CASE WHEN tag = 'CONTEXT_DROPPED' THEN i ELS
     "length_profile": f"""WITH {_S} SELECT count(*) AS n, min(b)::INT AS min_bytes, max(b)::INT AS max_bytes, round(avg(b), 6) AS mean_bytes, round(quantile_cont(b, 0.5), 6) AS p50, round(quantile_cont(b, 0.95), 6) AS p95,
 round(quantile_cont(b, 0.99), 6) AS p99, round(quantile_cont(b, 0.999), 6) AS p999 FROM s WHERE t <= {TOKENS}""",
     "threshold_fp_fn": _errors(str(list(FIXED))),
+    "threshold_zero_fp": _errors(f"(SELECT [max(b) FILTER (t <= {TOKENS})] FROM s)") + " HAVING threshold IS NOT NULL",
     "fp_fn_curve": _errors("range(10, 601, 10)"),
     "token_bounds": f"WITH {_W} SELECT count(*) AS vocabulary, min(b)::INT AS shortest, max(b)::INT AS longest, (min(b) * 254)::INT AS lower, (max(b) * 254)::INT AS upper FROM w",
     "token_extremes": f"WITH {_W} SELECT token, n_bytes, side FROM (SELECT token, b::INT AS n_bytes, 'short' AS side FROM w ORDER BY b, token LIMIT 10) UNION ALL SELECT * FROM (SELECT token, b::INT, 'long' FROM w ORDER BY b DESC, token LIMIT 10)",
@@ -214,7 +234,7 @@ round(quantile_cont(b, 0.99), 6) AS p99, round(quantile_cont(b, 0.999), 6) AS p9
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_parse, request_prompt_extract, corpus_validate, validation_summary, precache_outcomes, corpus_preprocess_newline, corpus_preprocess_space, corpus_drop_reasons, length_profile, threshold_fp_fn,
-        fp_fn_curve, token_bounds, token_extremes, length_histogram, length_scatter, repeatability, redact_secrets, template_render, core_split, manifest_problems,
+        corpus_parse, request_prompt_extract, corpus_validate, validation_summary, validation_lengths, precache_outcomes, corpus_preprocess_newline, corpus_preprocess_space, corpus_drop_reasons, length_profile, threshold_fp_fn,
+        threshold_zero_fp, fp_fn_curve, token_bounds, token_extremes, length_histogram, length_scatter, repeatability, redact_secrets, template_render, core_split, manifest_problems,
     )
 }

@@ -42,3 +42,19 @@ def test_near_dups_of_long_texts_and_large_groups(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["query_id"], r["vec_id"]) for r in catalog.QUERIES["semantic_near_dups_all"](spark, str(tmp_path)).collect()}
     assert got == {(100, 101)} | {(200, 200 + i) for i in range(1, 30)}
+
+
+def test_zero_false_positive_threshold(spark, tmp_path):
+    rows = [(1, "word " * 10 + "x" * 500), (2, "a " * 200), (3, "short"), (4, None)]
+    for name, some in (("a", rows), ("b", rows[1:2])):
+        spark.createDataFrame(some, "request_id bigint, prompt string").write.parquet(f"{tmp_path}/{name}/check_requests.parquet")
+    q = catalog.QUERIES["threshold_zero_fp"]
+    assert [tuple(r) for r in q(spark, f"{tmp_path}/a").select("threshold", "fp", "fn").collect()] == [(550, 0, 1)]
+    assert q(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_validation_counts_characters(spark, tmp_path):
+    lines = [(1, "f", '{"prompt": "\u00e9t\u00e9", "payload": "ab"}'), (2, "f", '{"prompt": "a", "payload": "abcd"}'), (3, "f", "{"), (4, "g", "")]
+    spark.createDataFrame(lines, "line_id bigint, local_name string, raw string").write.parquet(f"{tmp_path}/record_lines.parquet")
+    got = catalog.QUERIES["validation_lengths"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {("f", 1, 3, 2.0, 2, 4, 3.0), ("g", None, None, None, None, None, None)}
