@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, text
-from ..model import PAYLOAD_HEADER_BYTES, PENDING_MILLIS
+from ..model import EXACT_PAYLOAD_BYTES, PAYLOAD_HEADER_BYTES, PENDING_MILLIS
 from ..operators import admission, cache, lifecycle
 from ..scale import lookup, running
 
@@ -23,9 +23,14 @@ def exact_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact cache with payloads below 600 bytes only; exact_cache_put_full has the operator's limit."""
     return cache.exact_put(_t(spark, sf_dir, "cache_records"), "prompt", "payload", "loaded_at", "record_id", 600)
 
 
+def exact_cache_put_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.exact_put(_t(spark, sf_dir, "cache_records"), "prompt", "payload", "loaded_at", "record_id", EXACT_PAYLOAD_BYTES)
+
+
 def exact_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every request with the cached record of its very prompt, if there is one."""
     put = cache.exact_put(_t(spark, sf_dir, "cache_records"), "prompt", "payload", "loaded_at", "record_id")
@@ -227,6 +232,7 @@ w AS (
 ORACLES = {
     "exact_cache_lookup": "SELECT request_id, hash, request_id <> min(request_id) OVER (PARTITION BY hash) AS hit FROM (SELECT DISTINCT request_id, sha256(prompt) AS hash FROM check_requests WHERE prompt IS NOT NULL)",
     "exact_cache_put": f"WITH {_PUT.format(600)} SELECT * FROM put",
+    "exact_cache_put_full": f"WITH {_PUT.format(65536)} SELECT * FROM put",
     "exact_cache_hits": f"WITH {_PUT.format(65536)} SELECT request_id, record_id, record_id IS NOT NULL AS hit FROM (SELECT DISTINCT request_id, sha256(prompt) AS hash FROM check_requests WHERE prompt IS NOT NULL) LEFT JOIN put USING (hash)",
     "prompt_gate": f"""SELECT DISTINCT request_id, strlen(prompt)::INT AS n_bytes, ({_TOKENS.format("prompt")})::INT AS n_tokens,
 CASE WHEN prompt IS NULL OR prompt = '' THEN 'EMPTY' WHEN strlen(prompt) > 400 THEN 'BYPASS' WHEN {_TOKENS.format("prompt")} > 40 THEN 'OVER_TOKENS' ELSE 'PASS' END AS gate FROM check_requests""",
@@ -257,7 +263,7 @@ SELECT min(set_id) AS set_id, min_by(completed, set_id) AS completed, min_by(she
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_cache_lookup, exact_cache_put, exact_cache_hits, prompt_gate, admission_sliding, admission_requests, admission_shards, idle_clients, lfu_victim, client_key, coalesced, coalesce_savings,
+        exact_cache_lookup, exact_cache_put, exact_cache_put_full, exact_cache_hits, prompt_gate, admission_sliding, admission_requests, admission_shards, idle_clients, lfu_victim, client_key, coalesced, coalesce_savings,
         commit_ready, pending_sweep, clock_one_pass, clock_evict, ring_occupancy, payload_placement, payload_orphans, control_block_pack, control_block_unpack, hazard_overlap, shed_breaker, traffic_windows,
     )
 }

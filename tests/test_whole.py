@@ -58,3 +58,10 @@ def test_validation_counts_characters(spark, tmp_path):
     spark.createDataFrame(lines, "line_id bigint, local_name string, raw string").write.parquet(f"{tmp_path}/record_lines.parquet")
     got = catalog.QUERIES["validation_lengths"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {("f", 1, 3, 2.0, 2, 4, 3.0), ("g", None, None, None, None, None, None)}
+
+
+def test_exact_cache_holds_payloads_below_the_operators_limit(spark, tmp_path):
+    rows = [(1, "a", "x" * 600, None), (2, "b", "x" * 65_535, None), (3, "c", "x" * 65_536, None), (4, "d", "x", None)]
+    spark.createDataFrame(rows, "record_id bigint, prompt string, payload string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/cache_records.parquet")
+    got = catalog.QUERIES["exact_cache_put_full"](spark, str(tmp_path)).collect()
+    assert {(r["record_id"], r["n_bytes"]) for r in got} == {(1, 600), (2, 65_535), (4, 1)}
