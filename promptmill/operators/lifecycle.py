@@ -21,7 +21,7 @@ def clock(entries: DataFrame, ring: str, order: str, capacity: int) -> DataFrame
     ``entries`` has (ring, order, n_bytes, state, hot). Dead entries are RECLAIMED, pending ones SKIPPED, cold ready
     ones EVICTED; hot ones are MOVED to the head as cold while room is short, and may be EVICTED on the next turn.
     Whatever is left is KEPT. A ring is sequential by nature: rings are the unit of distribution, and a ring's
-    queue lives in its task, so rings are to be cut to bounded size (as ``clock_evict`` does by a hash).
+    queue lives in its task, so rings are to be cut to bounded size (``clock_evict`` takes their number, by a hash).
     """
     ship(entries.sparkSession)
 

@@ -140,11 +140,13 @@ def clock_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("node_id", F.when(F.col("hot"), "MOVED").otherwise("EVICTED").alias("fate"))
 
 
-def clock_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second-chance eviction down to a million bytes a ring, in rings of about 20,000 nodes by hash."""
+def clock_evict(spark: SparkSession, sf_dir: str, rings: int = 16, capacity: int = 1_000_000) -> DataFrame:
+    """Second-chance eviction down to ``capacity`` bytes in all, in ``rings`` rings by hash that have equal parts of it.
+
+    Neither depends on the number of nodes. A ring is one task, so larger tables need more rings.
+    """
     e = _entries(spark, sf_dir).select("node_id", "n_bytes", F.lit("READY").alias("state"), "hot")
-    rings = max(1, -(-e.count() // 20_000))
-    return lifecycle.clock(e.withColumn("ring", F.pmod(F.xxhash64("node_id"), F.lit(rings)).cast("int")), "ring", "node_id", 1_000_000).drop("ring")
+    return lifecycle.clock(e.withColumn("ring", F.pmod(F.xxhash64("node_id"), F.lit(rings)).cast("int")), "ring", "node_id", capacity // rings).drop("ring")
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Queries that do the whole job where the one of the first name keeps a limit of the reference."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from promptmill.operators import cache, vectors
-from promptmill.plans import catalog, search
+from promptmill.plans import catalog, search, traffic
 
 from .conftest import DATA
 
@@ -65,3 +66,11 @@ def test_exact_cache_holds_payloads_below_the_operators_limit(spark, tmp_path):
     spark.createDataFrame(rows, "record_id bigint, prompt string, payload string, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/cache_records.parquet")
     got = catalog.QUERIES["exact_cache_put_full"](spark, str(tmp_path)).collect()
     assert {(r["record_id"], r["n_bytes"]) for r in got} == {(1, 600), (2, 65_535), (4, 1)}
+
+
+@pytest.mark.parametrize("nodes", [12_000, 25_000])
+def test_clock_capacity_does_not_depend_on_the_number_of_nodes(spark, monkeypatch, nodes):
+    entries = spark.range(nodes).select(F.col("id").alias("node_id"), F.lit(100).alias("n_bytes"), F.lit(False).alias("hot"))
+    monkeypatch.setattr(traffic, "_entries", lambda *_: entries)
+    kept = traffic.clock_evict(spark, DATA).where("fate = 'KEPT'").count() * 100
+    assert 990_000 <= kept <= 1_000_000
