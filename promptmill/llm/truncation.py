@@ -2,7 +2,7 @@
 
 Whole-looking values are cut artificially to get positives; a hashed logistic regression learns from closing
 characters, punctuation, open structures and the distance to the source's limit, and then scores every value.
-Only the fit uses a bounded sample; closing words, limits and scores come from all rows.
+Only the fit uses a bounded sample; closing words, closing lines of code, limits and scores come from all rows.
 """
 
 from __future__ import annotations
@@ -201,13 +201,16 @@ class Model:
         return None if p is None else p > 0.5
 
 
-def fit(texts: list[str], closers: frozenset[str], limits: dict, epochs: int = 80, rate: float = 0.5, ridge: float = 1e-5, seed: int = 7) -> Model:
-    """Fit by full-batch Adagrad on intact texts and artificial cuts of them. The same for the same texts in any order."""
+def fit(texts: list[str], closers: frozenset[str], limits: dict, epochs: int = 80, rate: float = 0.5, ridge: float = 1e-5, seed: int = 7, lines: frozenset[str] | None = None) -> Model:
+    """Fit by full-batch Adagrad on intact texts and artificial cuts of them. The same for the same texts in any order.
+
+    ``lines``: patterns that whole code ends with (``code_lines``); None takes them from ``texts``.
+    """
     rng = random.Random(seed)
     rows: list[list[int]] = []
     labels: list[int] = []
     views = [View(text) for text in sorted(texts)]
-    lines = closing_lines(views)
+    lines = closing_lines(views) if lines is None else lines
     for v in views:
         text = v.text
         if not looks_whole(v, closers, lines):
@@ -266,6 +269,24 @@ def closing_words(values: DataFrame, least: int = 5, most: int = 50_000, list_sh
     return frozenset(r[0] for r in counts.where(F.col("n") >= enough).select("w").distinct().collect())
 
 
+def code_lines(values: DataFrame, share: float = 0.02, least: int = 3) -> frozenset[str]:
+    """Patterns of the last line that at least ``least`` and a ``share`` of the code values end with, counted over all values.
+
+    So there are at most 1 / ``share`` of them. The rule is the same for few values and for many.
+    """
+    ship(values.sparkSession)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = Counter(line_pattern(v) for t in b["value"] if t and not t[-1].isspace() and shape(t) == "code" and not (v := View(t)).opened)
+            yield pd.DataFrame({"pattern": list(got), "n": list(got.values())}).astype({"pattern": object, "n": "int64"})
+
+    counts = parallel(values.where("value is not null").select("value")).mapInPandas(count, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "lines")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r[0] for r in counts.where(F.col("n") >= max(least, share * total)).select("pattern").collect())
+
+
 def source_limits(values: DataFrame, least_rows: int = 5, share: float = 0.01, most: int = 100_000) -> dict:
     """(origin, source) -> (bytes, characters) of sources where an unusual share of the rows has the greatest length.
 
@@ -290,10 +311,10 @@ def train(values: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     Rows, not distinct texts, are sampled, so frequent short answers are seen as often as they are given.
     """
     values = values.where("value is not null")
-    closers, limits = closing_words(values), source_limits(values)
+    closers, lines, limits = closing_words(values), code_lines(values), source_limits(values)
     classes = max(1, values.count() // sample_rows)
     some = values.where(F.pmod(F.xxhash64("origin", "row_id", "value"), F.lit(classes)) == 0).select("value")
-    return fit([r[0] for r in some.limit(sample_rows * 2).collect()], closers, limits)
+    return fit([r[0] for r in some.limit(sample_rows * 2).collect()], closers, limits, lines=lines)
 
 
 def values_of(df: DataFrame, row_id: str, source: str, value: str, origin: str) -> DataFrame:

@@ -74,3 +74,12 @@ def test_clock_capacity_does_not_depend_on_the_number_of_nodes(spark, monkeypatc
     monkeypatch.setattr(traffic, "_entries", lambda *_: entries)
     kept = traffic.clock_evict(spark, DATA).where("fate = 'KEPT'").count() * 100
     assert 990_000 <= kept <= 1_000_000
+
+
+def test_code_lines_count_all_rows_by_one_rule(spark):
+    from promptmill.llm import truncation as T
+
+    rows = [("o", "s", i, f"def f{i}(x):\n    return x + {i}") for i in range(5)] + [("o", "s", 9, "def g(x):\n    return [x")] + [("o", "s", 10 + i, "A sentence stands here.") for i in range(30)]
+    values = spark.createDataFrame(rows + [("o", "s", 90, None), ("o", "s", 91, "")], "origin string, source string, row_id bigint, value string")
+    assert T.code_lines(values) == T.code_lines(values.repartition(7)) == {"    a a + 9"}
+    assert T.code_lines(values.where("false")) == frozenset()
