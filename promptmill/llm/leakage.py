@@ -1,25 +1,32 @@
 """Held-out passages in a corpus (problem 7): a prefix-filtered join of word shingles with exact verification.
 
-A passage of ``least`` words holds ``least - 4`` shingles of five words, and a document that has the passage has all of
-them. Hence the rarest of them (by document frequency over the whole corpus) is a sufficient prefix: documents
-without it are passed over. Where it occurs, position bounds place the item's window, and words are compared.
+A passage of ``least`` words holds ``least - 4`` shingles of five words in a row, and a document that has the passage
+has all of them. Hence the rarest of them (by document frequency over the whole corpus) is a sufficient prefix: items
+and documents meet only on it. Position bounds place the item's window, and the shingles around are compared.
+
+The corpus is read once, whatever the number of items: a bitmap of the items' shingles, of bounded size, tells a task
+which shingles of a document may be an item's. It keeps runs long enough to hold a passage and counts documents.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import parallel, ship, stage
+from ..scale import fits, lookup, parallel, salted_pairs, ship, stage
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE = 5
+#: Greatest bitmap: 2 ** 29 bits are 64 MB. More items make it denser, so more is looked at, but the result is the same.
+MOST_BITS = 29
+SEGMENT = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,139 +34,169 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def shingle_hashes(ids: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the five-word shingles that start at each position."""
-    if len(ids) < SHINGLE:
-        return np.empty(0, np.uint64)
-    x = (ids.astype(np.int64) + 1).astype(np.uint64)
-    h = x[: len(x) - SHINGLE + 1].copy()
-    with np.errstate(over="ignore"):
-        for k in range(1, SHINGLE):
-            h = (h * _P) ^ x[k : len(x) - SHINGLE + 1 + k]
-            h ^= h >> np.uint64(29)
-    return h
-
-
-class Passages:
-    """A block of items: their vocabulary, word ids and shingles."""
-
-    def __init__(self, items: list[tuple], least: int) -> None:
-        self.least, self.vocabulary, self.texts = least, {}, []
-        for item, *parts in items:
-            for part in parts:
-                if len(ws := words(part)) >= least:
-                    ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], np.int32)
-                    self.texts.append((item, ids, shingle_hashes(ids)))
-        self.shingles = np.unique(np.concatenate([h for _, _, h in self.texts])) if self.texts else np.empty(0, np.uint64)
-
-    def hits(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word ids of a document (-1: not in any item), positions where an item's shingle starts, and which."""
-        none = np.empty(0, np.int64)
+class Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+    def shingles(self, text: str | None, least: int) -> np.ndarray:
+        """64-bit hashes of the five-word shingles at each position; none for texts of fewer than ``least`` words."""
         ws = words(text)
-        if len(ws) < self.least or not len(self.shingles):
-            return none, none, none
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in ws), np.int32, len(ws))
-        h = shingle_hashes(ids)
-        known = np.lib.stride_tricks.sliding_window_view(ids >= 0, SHINGLE).all(1).nonzero()[0]
-        at = np.searchsorted(self.shingles, h[known])
-        at[at == len(self.shingles)] = 0
-        ok = self.shingles[at] == h[known]
-        return ids, known[ok], at[ok]
-
-    def postings(self, df: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Shingle -> (text, position) for the prefix of each window: its rarest shingle, ties to the smaller hash."""
-        out: dict[int, set[tuple[int, int]]] = {}
-        wide = self.least - SHINGLE + 1
-        for k, (_, _, h) in enumerate(self.texts):
-            at = np.searchsorted(self.shingles, h)
-            rank = df[at] * (len(self.shingles) + 1) + at
-            windows = np.lib.stride_tricks.sliding_window_view(rank, wide)
-            for start, off in enumerate(windows.argmin(1)):
-                out.setdefault(int(at[start + off]), set()).add((k, int(start + off)))
-        return {s: sorted(x) for s, x in out.items()}
-
-    def found(self, text: str | None, prefix: np.ndarray, postings: dict) -> set:
-        """Items of which the document has ``least`` consecutive words or more."""
-        ids, where, which = self.hits(text)
-        out: set = set()
-        if not len(where):
-            return out
-        keep = prefix[which]
-        for p, s in zip(where[keep].tolist(), which[keep].tolist(), strict=True):
-            for k, q in postings[s]:
-                item, words_, _ = self.texts[k]
-                if item in out:
+        if len(ws) < least:
+            return np.empty(0, np.uint64)
+        if len(self) > 500_000:
+            self.clear()
+        x = np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+        h = x[: len(x) - SHINGLE + 1].copy()
+        with np.errstate(over="ignore"):
+            for k in range(1, SHINGLE):
+                h = (h * _P) ^ x[k : len(x) - SHINGLE + 1 + k]
+                h ^= h >> np.uint64(29)
+        return h
+
+
+def _item_shingles(items: DataFrame, parts: int, kind: str, least: int) -> DataFrame:
+    """(i, part, t, hs): shingles of each part that has ``least`` words; ``t`` tells texts of one item and part apart."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
+        for b in batches:
+            out = []
+            for k in range(parts):
+                for i, text in zip(b["_i"], b[f"_p{k}"], strict=True):
+                    if len(h := hashes.shingles(text, least)):
+                        out.append((i, k, h.view(np.int64)))
+            yield pd.DataFrame(out, columns=["i", "part", "hs"])
+
+    rows = parallel(items).mapInPandas(make, f"i {kind}, part int, hs array<bigint>")
+    return rows.select("i", "part", F.xxhash64("hs").alias("t"), "hs").dropDuplicates(["i", "part", "t"])
+
+
+def _places(h: Column, bits: int) -> Column:
+    """Two places of a shingle in the bitmap."""
+    mask = F.lit((1 << bits) - 1)
+    return F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - bits))
+
+
+def _bitmap(shingles: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap: blocks of 32,768 bits, made where the shingles are; the driver gets 2 ** bits bits at most."""
+    at = shingles.select(F.explode(_places(F.col("h"), bits)).alias("x"))
+    blocks = at.groupBy(F.shiftright("x", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("x").bitwiseAND(F.lit(32767))).alias("m"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for b, m in blocks.toLocalIterator():
+        out[b << 12 : (b << 12) + 4096] = np.frombuffer(m, np.uint8)
+    return out
+
+
+def _document_runs(docs: DataFrame, held, bits: int, kind: str, least: int) -> DataFrame:
+    """Of each document the runs of shingles that may be an item's and could hold a passage, in segments (d, first, n,
+    run: ``n`` shingles from ``first`` with what stands around them), and how many documents have a shingle (h, n)."""
+    wide = least - SHINGLE + 1
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bitmap, hashes, count = held.value, Hashes(), Counter()
+        mask, high = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
+        names = ["d", "first", "n", "run", "h"]
+
+        def has(x: np.ndarray) -> np.ndarray:
+            return (bitmap[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1
+
+        def counted() -> pd.DataFrame:
+            got = pd.DataFrame({"d": None, "first": 0, "n": list(count.values()), "run": None, "h": list(count)}).astype({"h": "int64", "n": "int64"})
+            count.clear()
+            return got[names]
+
+        for b in batches:
+            out = []
+            for d, text in zip(b["_d"], b["_t"], strict=True):
+                h = hashes.shingles(text, least)
+                if not len(h):
+                    continue
+                at = np.flatnonzero(has(h & mask))
+                at = at[has(h[at] >> high) == 1]
+                if not len(at):
                     continue
-                back, ahead = min(p, q, self.least), min(len(ids) - p, len(words_) - q, self.least)
-                if back + ahead < self.least:
-                    continue  # positions leave no room for a window
-                same = ids[p - back : p + ahead] == words_[q - back : q + ahead]
-                left = same[:back][::-1]
-                before = int(left.argmin()) if not left.all() else back
-                right = same[back:]
-                after = int(right.argmin()) if not right.all() else ahead
-                if before + after >= self.least:
-                    out.add(item)
-        return out
-
-
-def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", parts: tuple[str, ...] = ("prompt", "payload"), least: int = 12, block_rows: int = 5000, block_bytes: int = 16_000_000) -> DataFrame:
+                h = h.view(np.int64)
+                count.update(set(h[at].tolist()))
+                for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
+                    a, e = int(run[0]), int(run[-1]) + 1
+                    if e - a < wide:
+                        continue
+                    for s in range(a, e, SEGMENT):
+                        lo, hi = max(a, s - wide + 1), min(e, s + SEGMENT + wide - 1)
+                        out.append((d, s - lo, min(SEGMENT, e - s), h[lo:hi], 0))
+                if len(out) > 2000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+            if len(count) > 200_000:
+                yield counted()
+        yield counted()
+
+    return docs.mapInPandas(scan, f"d {kind}, first int, n bigint, run array<bigint>, h bigint")
+
+
+def _prefixes(ranked: DataFrame, kind: str, least: int) -> DataFrame:
+    """(h, i, left, right): for each window of an item its rarest shingle (ties to the smaller hash), with the
+    shingles before (nearest first) and after it that a window around it can hold. Windows of which no document has
+    some shingle are left out."""
+    wide = least - SHINGLE + 1
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, hs, ns in zip(b["i"], b["hs"], b["ns"], strict=True):
+                h, n = np.asarray(hs, np.int64), np.asarray(ns, np.int64)
+                rank = np.empty(len(h), np.int64)
+                rank[np.lexsort((h, n))] = np.arange(len(h))
+                at = np.lib.stride_tricks.sliding_window_view(rank, wide).argmin(1) + np.arange(len(h) - wide + 1)
+                known = np.lib.stride_tricks.sliding_window_view(n > 0, wide).all(1)
+                for p in np.unique(at[known]).tolist():
+                    out.append((int(h[p]), i, h[max(0, p - wide + 1) : p][::-1], h[p + 1 : p + wide]))
+            yield pd.DataFrame(out, columns=["h", "i", "left", "right"])
+
+    return ranked.mapInPandas(make, f"h bigint, i {kind}, left array<bigint>, right array<bigint>")
+
+
+def _common(a: str, b: str) -> Column:
+    """How many leading values two arrays have in common."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1)
+
+
+def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", parts: tuple[str, ...] = ("prompt", "payload"), least: int = 12, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, item_id): the document holds at least ``least`` consecutive words of one of the item's parts.
 
-    Items are a stated query set. They are taken in blocks of about ``block_rows`` and ``block_bytes`` (of one hash
-    class of item_id each), so what a task holds is bounded; each block reads the documents. Parts with fewer than ``least`` words,
-    null or empty texts and null ids match nothing; each pair comes out once, however often ids or rows repeat.
-    ``least`` must be at least 5.
+    Parts with fewer than ``least`` words, null or empty texts and null ids match nothing; each pair comes out once,
+    however often ids or rows repeat; other columns don't matter. Words are compared by 64-bit hashes of shingles, of
+    which ``least - 4`` in a row must be equal. ``least`` must be at least 5.
     """
     if least < SHINGLE:
         raise ValueError("least must be at least the shingle's five words")
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where("_d is not null and _t is not null")
-    docs = parallel(docs)
-    items = items.select(F.col(item_id).alias("_i"), *[F.col(p).alias(f"_p{k}") for k, p in enumerate(parts)]).where("_i is not null").distinct()
-    n, size = items.agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(F.octet_length(f"_p{k}"), F.lit(0)) for k in range(len(parts))), F.lit(0)).cast("bigint"))).first()
-    blocks = max(1, -(-n // block_rows), -(-(size or 0) // block_bytes))
+    wide = least - SHINGLE + 1
+    docs = parallel(documents.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where("_d is not null and _t is not null"))
+    items = items.select(F.col(item_id).alias("_i"), *[F.col(p).alias(f"_p{k}") for k, p in enumerate(parts)]).where("_i is not null")
     d_type, i_type = (dict(df.dtypes)[c] for df, c in ((docs, "_d"), (items, "_i")))
-    schema = f"`{doc_id}` {d_type}, `{item_id}` {i_type}"
-    out = []
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == b)
-        passages = Passages([tuple(r) for r in block.collect()], least)
-        if len(passages.shingles):
-            out.append(_block(docs, passages, schema, doc_id, item_id))
-    if not out:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.union, out).distinct()
-
-
-def _block(docs: DataFrame, passages: Passages, schema: str, doc_id: str, item_id: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(passages)
-
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = held.value
-        n = np.zeros(len(p.shingles), np.int64)
-        for batch in batches:
-            for t in batch["_t"]:
-                n[np.unique(p.hits(t)[2])] += 1
-        at = n.nonzero()[0]
-        yield pd.DataFrame({"s": at, "n": n[at]})
-
-    df = np.zeros(len(passages.shingles), np.int64)
-    counts = docs.select("_t").mapInPandas(frequencies, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-    for s, n in counts.collect():  # at most a row for each shingle of the block
-        df[s] = n
-    postings = passages.postings(df)
-    postings = {s: x for s, x in postings.items() if df[s]}
-    prefix = np.zeros(len(passages.shingles), bool)
-    prefix[list(postings)] = True
-    index = docs.sparkSession.sparkContext.broadcast((prefix, postings))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, (pre, post) = held.value, index.value
-        for batch in batches:
-            got = [(d, i) for d, t in zip(batch["_d"], batch["_t"], strict=True) for i in p.found(t, pre, post)]
-            yield pd.DataFrame(got, columns=[doc_id, item_id])
-
-    return stage(docs.mapInPandas(search, schema), "leaks")
+    of_items = stage(_item_shingles(items, len(parts), i_type, least), "items")
+    shingles = of_items.select("i", "part", "t", F.posexplode("hs").alias("pos", "h"))
+    total = of_items.agg(F.sum(F.size("hs"))).first()[0] or 0
+    bits = min(most_bits, max(20, (32 * total).bit_length()))
+    held = spark.sparkContext.broadcast(_bitmap(shingles, bits))
+    got = stage(_document_runs(docs, held, bits, d_type, least), "runs")
+    counts = got.where("d is null").groupBy("h").agg(F.sum("n").alias("n"))
+    ranked = lookup(shingles, counts, "h").groupBy("i", "part", "t").agg(F.array_sort(F.collect_list(F.struct("pos", "h", F.coalesce("n", F.lit(0)).alias("n")))).alias("x"))
+    prefixes = stage(_prefixes(ranked.select("i", F.col("x.h").alias("hs"), F.col("x.n").alias("ns")), i_type, least), "prefixes")
+    each = got.where("d is not null").select("d", "run", F.explode(F.sequence(F.col("first"), (F.col("first") + F.col("n") - 1).cast("int"))).alias("k"))
+    k = F.col("k")
+    before = F.reverse(F.slice("run", F.greatest(F.lit(1), k - (wide - 2)), F.least(k, F.lit(wide - 1))))
+    each = each.select("d", F.col("run")[k].alias("h"), before.alias("before"), F.slice("run", k + 2, F.lit(wide - 1)).alias("after"))
+    wanted = prefixes.select("h").distinct()
+    each = stage(each.join(F.broadcast(wanted) if fits(wanted) else wanted, "h", "left_semi"), "places")
+    pairs = salted_pairs(each, prefixes, "h")
+    room = F.least(F.size("before"), F.size("left")) + F.least(F.size("after"), F.size("right")) + 1
+    pairs = pairs.where(room >= wide).where(_common("before", "left") + _common("after", "right") + 1 >= wide)
+    return pairs.select(F.col("d").alias(doc_id), F.col("i").alias(item_id)).distinct()

@@ -133,9 +133,10 @@ def brute_leaks(docs, items, least):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [5000, 10])
+@pytest.mark.parametrize("most_bits", [29, 6])
 @pytest.mark.parametrize("least", [12, 5])
-def test_leaks(spark, block_rows, least):
+def test_leaks(spark, most_bits, least):
+    """Also with a bitmap so small that nearly every shingle passes it."""
     rng = random.Random(least)
     vocabulary = [f"w{i}" for i in range(30)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -151,10 +152,25 @@ def test_leaks(spark, block_rows, least):
     docs += [(500, None), (501, ""), (502, "repeat " * 12), (503, "repeat " * 11), (504, "word " * 50_000 + items[0][1])]
     d = spark.createDataFrame([(*x, 0) for x in docs] + [(None, items[0][1], 0)], "doc_id bigint, text string, item_id int").repartition(3)
     i = spark.createDataFrame([(*x, 0) for x in items] + [(None, text(30), None, 0)], "item_id bigint, prompt string, payload string, doc_id int")
-    got = [tuple(r) for r in L.leaked(d, i, least=least, block_rows=block_rows).collect()]
+    got = [tuple(r) for r in L.leaked(d, i, least=least, most_bits=max(15, most_bits)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_leaks(docs, items, least) and got
 
 
+def test_leaks_of_many_items(spark):
+    """50,000 items, a third of them with one passage in common, against documents of which a third hold it."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    shared = draw(14)
+    items = [(i, draw(20) + (" " + shared if i % 3 == 0 else ""), None) for i in range(50_000)]
+    docs = [(d, draw(30) + " " + items[int(rng.integers(50_000))][1] if d % 3 else draw(9)) for d in range(90)] + [(100 + d, shared) for d in range(3)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, prompt string, payload string")
+    got = L.leaked(d, i).collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == brute_leaks(docs, items, 12)
+
+
 def test_leaks_of_nothing(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     i = spark.createDataFrame([(1, "a b", None)], "item_id bigint, prompt string, payload string")
