@@ -44,15 +44,18 @@ def strengths(raw: bytes, ends: np.ndarray) -> np.ndarray:
 
 
 class SparseTable:
-    """Index of the greatest value in a range in constant time; of equals the rightmost."""
+    """Index of the greatest value in a range in constant time; of equals the rightmost.
 
-    def __init__(self, values: np.ndarray) -> None:
+    Ranges have at most ``widest`` values, so there are no more than log2(widest) + 1 levels, however long the text is.
+    """
+
+    def __init__(self, values: np.ndarray, widest: int | None = None) -> None:
         # Keys are unique and grow with value first, then with position, so a plain maximum breaks ties rightward.
         n = len(values)
         self.n = n
         self.levels = [values.astype(np.int64) * (n + 1) + np.arange(n)]
         k = 1
-        while 2 * k <= n:
+        while 2 * k <= min(n, widest or n):
             a = self.levels[-1]
             self.levels.append(np.maximum(a[:-k], a[k:]))
             k *= 2
@@ -68,10 +71,11 @@ def split(text: str, limit: int, overlap: int, path: str = tk.TOKENIZER) -> list
     """(first token, end token, first character, end character, piece) of each piece; one piece if the text fits.
 
     Every piece has at most ``limit`` tokens, also if encoded by itself. Consecutive pieces share ``overlap`` tokens;
-    a few more where the start would fall inside a character. Cuts fall in the later half of the limit.
+    up to three more where the start would fall inside a character. Cuts fall in the later half of the limit where
+    tokens don't merge otherwise at the cut. ValueError for an overlap that isn't below half the limit, or within 8 of it.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be at least 0 and below half the limit")
+    if not 0 <= overlap < limit // 2 or limit - overlap < 8:
+        raise ValueError("overlap must be at least 0, below half the limit and 8 below the limit")
     enc, sizes = tk.encoding(path)
     raw = text.encode("utf-8", "replace")
     ids = enc.encode_ordinary(raw.decode())
@@ -80,26 +84,31 @@ def split(text: str, limit: int, overlap: int, path: str = tk.TOKENIZER) -> list
         return [(0, n, 0, len(text), text)] if n else []
     at = np.concatenate([[0], np.cumsum(sizes[ids])])
     s = np.concatenate([[PARAGRAPH], strengths(raw, at[1:-1]), [PARAGRAPH]])
-    table = SparseTable(s)
+    table = SparseTable(s, limit)
     out, start, chars = [], 0, 0
     while True:
-        most = limit
+        # The next piece starts ``overlap`` before the cut, at the start of a character; it must start later than this
+        # one. A character has four tokens at most, so such a cut is in reach.
+        first = start + 1
+        while s[first] == INSIDE:
+            first += 1
+        least, most, tried = first + overlap, start + limit, 0
         while True:
-            end = n if n - start <= most else table.strongest(start + max(most // 2, overlap + 1), start + most)
+            end = n if n <= most else table.strongest(max(least, min(start + (most - start) // 2, most - 3)), most)
             piece = raw[at[start] : at[end]].decode("utf-8", "replace")
             over = len(enc.encode_ordinary(piece)) - limit
-            if over <= 0 or most <= overlap + 2:
+            if over <= 0:
                 break
-            most = min(most, end - start) - over  # tokens merge otherwise at a cut inside a word
-            most = max(most, overlap + 2)
+            if most == tried:
+                raise ValueError(f"{limit} tokens can't hold {end - start} tokens of the text encoded by themselves")
+            tried = most
+            most = max(least + 3, min(most, end) - over)  # tokens merge otherwise at a cut inside a word
         out.append((start, end, chars, chars + len(piece), piece))
         if end == n:
             return out
         new = end - overlap
         while s[new] == INSIDE:
             new -= 1
-        if new <= start:
-            new = end
         chars += len(raw[at[start] : at[new]].decode("utf-8", "replace"))
         start = new
 

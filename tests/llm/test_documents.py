@@ -69,7 +69,7 @@ TEXTS = [
 
 
 @pytest.mark.parametrize("k", range(len(TEXTS)))
-@pytest.mark.parametrize(("limit", "overlap"), [(256, 32), (40, 0), (40, 15)])
+@pytest.mark.parametrize(("limit", "overlap"), [(256, 32), (40, 0), (40, 15), (16, 7)])
 def test_pieces_cover_the_text_within_the_limit(k, limit, overlap):
     text = TEXTS[k]
     enc, _ = tokens.encoding()
@@ -83,8 +83,7 @@ def test_pieces_cover_the_text_within_the_limit(k, limit, overlap):
     assert got[0][0] == 0 and got[-1][1] == len(ids) and got[-1][3] == len(text)
     for x, y in zip(got, got[1:], strict=False):
         assert x[0] < y[0] <= x[1] < y[1]
-        assert x[1] - y[0] >= overlap or y[0] == x[1]
-        assert x[1] - y[0] <= overlap + 4
+        assert overlap <= x[1] - y[0] <= overlap + 3
     rebuilt = text[: got[0][3]] + "".join(text[x[3] : y[3]] for x, y in zip(got, got[1:], strict=False))
     assert rebuilt == text
 
@@ -113,9 +112,9 @@ def test_pieces_of_a_table(spark):
     assert {r["doc_id"] for r in got} == {1} and sorted(r["piece"] for r in got) == list(range(len(got)))
     assert {r["doc_id"] for r in S.pieces(df, all_documents=True).collect()} == {1, 3}
     assert S.pieces(df.where("false")).count() == 0
-    for bad in (-1, 128, 256):
+    for limit, bad in ((256, -1), (256, 128), (256, 256), (9, 2)):
         with pytest.raises(ValueError):
-            S.split("x", 256, bad)
+            S.split("x", limit, bad)
 
 
 def brute_leaks(docs, items, least):
