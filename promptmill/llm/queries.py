@@ -77,6 +77,12 @@ def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins before and after the search, of 2048 and of 256 tokens, and the least that the tokens need."""
+    d = _table(spark, sf_dir, "documents")
+    return packing.emptied(d).union(packing.emptied(d, capacity=256))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "heldout_items"))
 
@@ -87,5 +93,5 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p6_packing, p7_found, p8_pieces)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p6_packing, p6_fill, p7_found, p8_pieces)
 }

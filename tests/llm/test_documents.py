@@ -27,17 +27,39 @@ def test_packing_is_near_the_lower_bound(seed):
     sizes = [rng.randint(1, 256) for _ in range(800)]
     n = check_packing(sizes, K.pack(sizes, 256), 256)
     assert n <= 1.03 * -(-sum(sizes) // 256) + 1
-    assert n <= check_packing(sizes, K.pack(sizes, 256, rounds=0), 256)
+    p = K.Packing(sizes, 256)
+    assert n < p.start.bins
 
 
 def test_local_search_beats_its_start():
-    """Best fit leaves five bins here; exchanges find the four full ones."""
-    sizes = [44, 41, 36, 36, 31, 27, 24, 23, 20, 20, 20, 20, 19, 14, 13, 12]
+    """Five bins as the items arrive; moves and exchanges find the four full ones."""
+    sizes = [20, 20, 36, 20, 41, 13, 36, 14, 12, 44, 31, 27, 24, 23, 20, 19]
+    assert sum(sizes) == 400
     p = K.Packing(sizes, 100)
-    start = sum(f * f for f in p.fill)
-    p.search(10)
-    assert sum(f * f for f in p.fill) >= start
-    check_packing(sizes, K.pack(sizes, 100), 100)
+    assert p.start.bins == 5
+    p.climb()
+    assert p.used == 4 and p.squares() == 4 * 100 * 100 > p.start.squares
+    assert check_packing(sizes, p.numbered(), 100) == 4
+
+
+def test_every_step_raises_the_sum_of_squares():
+    rng = random.Random(9)
+    kinds = set()
+    for _ in range(40):
+        sizes = [rng.randint(1, 70) for _ in range(60)]
+        p = K.Packing(sizes, 100)
+        trade = p._trade
+        p._trade = lambda a, give, b, take, trade=trade: (kinds.add((len(give), len(take))), trade(a, give, b, take))
+        before, going = p.squares(), True
+        while going:
+            going = False
+            for a in range(len(p.bins)):
+                while 0 < p.fill[a] < 100 and p._improve(a):
+                    assert p.squares() > before
+                    before, going = p.squares(), True
+        assert all(f == sum(sizes[i] for i in b) <= 100 for b, f in zip(p.bins, p.fill, strict=True))
+        assert sorted(i for b in p.bins for i in b) == list(range(60)) and p.used == sum(map(bool, p.bins))
+    assert kinds >= {(1, 0), (1, 1), (2, 1), (1, 2)}
 
 
 @pytest.mark.parametrize("sizes", [[], [0], [5], [256] * 3, [0, 0, 256], [129] * 9, [1] * 700])
