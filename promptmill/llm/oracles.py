@@ -53,6 +53,14 @@ SELECT c.i AS record_lo, c.j AS record_hi FROM c JOIN t a ON a.id = c.i JOIN t b
 WHERE len(list_intersect(a.w, b.w)) * 9 >= (a.n + b.n) * 4
 """
 
+_P5_GROUPS = f"""
+WITH RECURSIVE p AS (SELECT * FROM ({_P5})),
+e AS (SELECT record_lo AS a, record_hi AS b FROM p UNION ALL SELECT record_hi, record_lo FROM p),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT a AS record_id, least(a, g.b) AS group_id, (SELECT count(*) FROM e WHERE e.a = g.a) AS links FROM g
+"""
+
 _P7 = r"""
 WITH i AS (SELECT item_id, unnest([prompt, payload]) AS t FROM heldout_items),
 iw AS (SELECT item_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM i WHERE t IS NOT NULL),
@@ -70,5 +78,6 @@ SELECT DISTINCT a.request_id, b.record_id FROM a JOIN b ON a.f = b.f AND a.promp
     "p4_found": _P4 + "SELECT origin, first_id, id AS copy_id FROM g WHERE id <> first_id",
     "p4_distinct": _P4 + "SELECT origin, first_id, count(*) AS copies FROM g GROUP BY origin, first_id",
     "p5_found": _P5,
+    "p5_groups": _P5_GROUPS,
     "p7_found": _P7,
 }

@@ -72,6 +72,11 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearsets.groups(_table(spark, sf_dir, "cache_records"), "record_id", ("prompt", "payload"))
 
 
+def p5_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the prompts of check_requests of five words or more: short sets, many of them light."""
+    return nearsets.groups(_table(spark, sf_dir, "check_requests"), "request_id", ("prompt",), least_words=5)
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, of 2048 tokens each."""
     return packing.packed(_table(spark, sf_dir, "documents"))
@@ -93,5 +98,5 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p6_packing, p6_fill, p7_found, p8_pieces)
+    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p5_prompts, p6_packing, p6_fill, p7_found, p8_pieces)
 }

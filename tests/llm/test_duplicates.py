@@ -128,7 +128,7 @@ def test_hot_signatures_are_salted_without_loss(spark):
     df = spark.createDataFrame(rows, "id bigint, p string, a string")
     bounds = N.Bounds(0.8)
     frequent = {h: 1000 for h in N._hashes({f"c{k}" for k in range(45)})}
-    sets = N._prefixes(df, frequent, 30, bounds).drop("same")
+    sets = N._prefixes(df, frequent, 1.0, 30, bounds).drop("same")
     a, b = (set(map(tuple, N._candidates(sets, bounds, 0, hot_rows=h).collect())) for h in (3, 10**6))
     assert a == b and brute(rows) <= a
 
@@ -141,12 +141,55 @@ def test_chain_components(spark):
 
 
 def test_boundary_follows_cost():
-    from collections import Counter
-
-    b, sizes = N.Bounds(0.8), Counter({n: 100_000 for n in range(30, 120)})
-    assert N.boundary(sizes, 5.0, b) == 0
-    few, many = N.boundary(sizes, 500.0, b), N.boundary(sizes, 5000.0, b)
-    assert 30 <= few <= many
+    b = N.Bounds(0.8)
+
+    def at(mean_list, sizes=range(5, 120)):
+        k, sets = 1000, 1_000_000
+        expect = {}
+        for n in sizes:
+            p = b.missing_probe(n) + 2
+            expect[n] = N.Matches(k, k * p * mean_list, k * p * (p - 1) / 2 * mean_list * mean_list / sets)
+        return N.boundary(expect, b)
+
+    assert at(3.0) == 0 and at(3.0, range(30, 120)) == 0
+    assert 5 <= at(300.0) < 30 <= at(5000.0) <= at(20_000.0)
+
+
+def test_both_sides_carry_pairs(spark):
+    """Short sets of few different words have long lists: they are light, while the long sets of rare words are heavy."""
+    rng = random.Random(8)
+    short = [(i, " ".join(f"c{rng.randint(0, 45)}" for _ in range(9)), "") for i in range(6000)]
+    long = [r for r in records(6, 60) if r[0] is not None and r[0] < 1000]
+    rows = short + [(10_000 + i, f"{p} {' '.join(f'z{i % 50}y{k}' for k in range(30))}", a) for i, p, a in dict.fromkeys(long)]
+    df = spark.createDataFrame(rows, "rid bigint, p string, a string")
+    least = 5
+    frequent, mean = N._statistics(df.select("p", "a"), least)
+    bounds = N.Bounds(0.8)
+    sets = N._prefixes(df.withColumnRenamed("rid", "id"), frequent, mean, least, bounds)
+    light = N.boundary(N._expected(sets), bounds)
+    assert 9 <= light < 40
+    got = {tuple(r) for r in N.similar_pairs(df, "rid", ("p", "a"), least_words=least).collect()}
+    assert got == brute(rows, least=least)
+    assert any(hi < 10_000 for _, hi in got) and any(lo >= 10_000 for lo, _ in got)
+
+
+def test_very_many_words(spark):
+    """A record of 200,000 different words, and one that lacks a few of them."""
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words), None), (2, " ".join(words[7:]), "more"), (3, " ".join(words[:150_000]), None), (4, "few", None)]
+    df = spark.createDataFrame(rows, "rid bigint, p string, a string")
+    assert [tuple(r) for r in N.similar_pairs(df, "rid", ("p", "a")).collect()] == [(1, 2)]
+
+
+def test_hub_with_many_copies(spark):
+    """One set has a third of the rows and is near to many others."""
+    hub = [f"h{k}" for k in range(40)]
+    rows = [(i, " ".join(hub), None) for i in range(60)] + [(100 + i, " ".join([*hub[1:], f"x{i}"]), None) for i in range(120)]
+    df = spark.createDataFrame(rows, "rid bigint, p string, a string")
+    want = brute(rows)
+    assert {tuple(r) for r in N.similar_pairs(df, "rid", ("p", "a")).collect()} == want
+    links = {r["rid"]: (r["group_id"], r["links"]) for r in N.groups(df, "rid", ("p", "a")).collect()}
+    assert links == {i: (0, sum(i in p for p in want)) for i, _, _ in rows}
 
 
 def test_json_is_read_like_python():
