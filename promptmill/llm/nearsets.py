@@ -2,8 +2,8 @@
 
 Records are sets of words; a pair counts if the words in both are at least ``similarity`` of the words in either.
 Light sets (few words) enumerate two-word subsets of their prefix and meet on equal subsets; heavy sets scan the
-inverted lists of their prefix words. The boundary is chosen by cost, from how often the prefix words of all records
-occur, so it moves up as lists grow with the data.
+inverted lists of their prefix words. The boundary is chosen by cost, from the lengths of the lists of all prefix
+words, so it moves up as lists grow with the data.
 The prefix is of the rarest words: two sets with an overlap of at least c share k words among the first n - c + k of
 each. Position, size and a 64-bit parity sketch prune matches inside the join; the survivors are verified on words.
 
@@ -74,8 +74,8 @@ class Bounds:
         return n - self.overlap_col(n, n)
 
 
-def _statistics(rows: DataFrame, least_words: int) -> tuple[dict[int, int], float]:
-    """Frequent words with their document frequencies, and the mean length of the list that an occurrence of a rarer word is in.
+def _statistics(rows: DataFrame, least_words: int) -> dict[int, int]:
+    """Frequent words with their document frequencies.
 
     Counted over all rows; a task keeps at most some hundred thousand counts before it passes them on.
     """
@@ -95,14 +95,12 @@ def _statistics(rows: DataFrame, least_words: int) -> tuple[dict[int, int], floa
     words = stage(rows.mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")), "counts")
     total = words.agg(F.sum("n")).first()[0] or 0
     often = max(50, total / FREQUENT)
-    frequent = {r[0]: r[1] for r in words.where(F.col("n") >= often).select("k", "n").collect()}
-    rare = words.where(F.col("n") < often).agg(F.sum("n").cast("double"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
-    return frequent, (rare[1] / rare[0] if rare[0] else 0.0)
+    return {r[0]: r[1] for r in words.where(F.col("n") >= often).select("k", "n").collect()}
 
 
 @dataclass
 class Matches:
-    """Sets of one size, and the matches they would meet in all as heavy and as light ones."""
+    """Sets of one size, the matches they meet in all as heavy ones, and what they would meet as light ones."""
 
     sets: int
     heavy: float
@@ -122,19 +120,25 @@ def boundary(sizes: dict[int, Matches], bounds: Bounds, match_cost: float = MATC
     return at
 
 
-def _expected(sets: DataFrame) -> dict[int, Matches]:
-    """The matches by size, over all sets. Lists hold every copy of a set, but only its first one is joined, so they
-    are shortened by the share of unlike sets. A row for each size that occurs."""
-    total, unlike = sets.agg(F.count(F.lit(1)), F.countDistinct("same")).first()
-    share = unlike / total if total else 0.0
-    rows = sets.groupBy("n").agg(F.count(F.lit(1)), F.sum("list1"), F.sum("list2")).collect()
-    # Two words are in one set as often as if they were independent: the sum of products of the lists over all sets.
-    return {n: Matches(k, h * share, li * share / max(total, 1)) for n, k, h, li in rows}
+def _expected(reps: DataFrame, bounds: Bounds) -> dict[int, Matches]:
+    """The matches by size of the larger set, counted over the lists of all prefix words. A row for each size that occurs.
 
-
-def _prefixes(rows: DataFrame, frequent: dict[int, int], mean_list: float, least_words: int, bounds: Bounds) -> DataFrame:
-    """(id, n, same, bits, rare, list1, list2, prefix) of each row with enough words. ``same``: hash of the whole set;
-    ``list1``: lengths of the lists of its probe prefix in all, ``list2``: products of the lengths of every two of them."""
+    For light sets they follow from those: two words are in one set as often as if they were independent.
+    """
+    lists = _signatures(reps, bounds, 0, "index").groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    asked = _signatures(reps, bounds, 0, "probe").groupBy("sig", "n").agg(F.count(F.lit(1)).alias("k"))  # before the join, so no list is long
+    heavy = dict(asked.join(lists, "sig").groupBy("n").agg(F.sum(F.col("k").cast("double") * F.col("c"))).collect())
+    sizes = dict(reps.groupBy("n").count().collect())
+    total, out = sum(sizes.values()), {}
+    for n, sets in sizes.items():
+        p, h = bounds.missing_probe(n), heavy.get(n, 0.0)
+        mean = h / (sets * (p + 1))
+        out[n] = Matches(sets, h, sets * (p + 2) * (p + 1) / 2 * mean * mean / total)
+    return out
+
+
+def _prefixes(rows: DataFrame, frequent: dict[int, int], least_words: int, bounds: Bounds) -> DataFrame:
+    """(id, n, same, bits, rare, prefix) of each row with enough words; ``same``: hash of the whole set."""
     held = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,18 +154,13 @@ def _prefixes(rows: DataFrame, frequent: dict[int, int], mean_list: float, least
                 rare = sorted(h for h in hs if h not in often)
                 need = bounds.missing_probe(n) + 2
                 first = rare[:need]
-                one, squares = len(first) * mean_list, len(first) * mean_list * mean_list
                 if len(first) < need:
-                    more = sorted((often[h], h) for h in hs if h in often)[: need - len(first)]
-                    first += [h for _, h in more]
-                    one += sum(k for k, _ in more)
-                    squares += sum(k * k for k, _ in more)
+                    first += sorted((h for h in hs if h in often), key=lambda h: (often[h], h))[: need - len(first)]
                 bits = int(np.bitwise_xor.reduce(np.left_shift(np.uint64(1), np.array(hs, np.int64).view(np.uint64) & np.uint64(63))))
-                same = xxhash.xxh3_128_digest("\n".join(sorted(s)).encode("utf-8", "replace"))
-                out.append((i, n, same, bits - (1 << 64) if bits >> 63 else bits, len(rare), float(one), (one * one - squares) / 2, first))
-            yield pd.DataFrame(out, columns=["id", "n", "same", "bits", "rare", "list1", "list2", "prefix"])
+                out.append((i, n, xxhash.xxh3_128_digest("\n".join(sorted(s)).encode("utf-8", "replace")), bits - (1 << 64) if bits >> 63 else bits, len(rare), first))
+            yield pd.DataFrame(out, columns=["id", "n", "same", "bits", "rare", "prefix"])
 
-    return rows.mapInPandas(make, "id bigint, n int, same binary, bits bigint, rare int, list1 double, list2 double, prefix array<bigint>")
+    return rows.mapInPandas(make, "id bigint, n int, same binary, bits bigint, rare int, prefix array<bigint>")
 
 
 def _signatures(reps: DataFrame, bounds: Bounds, light: int, role: str) -> DataFrame:
@@ -233,17 +232,17 @@ def linked(records: DataFrame, row_id: str, texts: tuple[str, ...], similarity:
     second = F.col(texts[1]) if len(texts) > 1 else F.lit(None).cast("string")
     rows = records.select(F.col(row_id).cast("bigint").alias("id"), F.col(texts[0]).alias("p"), second.alias("a")).where("id is not null")
     spread = parallel(rows)
-    frequent, mean_list = _statistics(spread.select("p", "a"), least_words)
-    sets = stage(_prefixes(spread, frequent, mean_list, least_words, bounds), "sets")
-    light = boundary(_expected(sets), bounds) if light is None else light
+    frequent = _statistics(spread.select("p", "a"), least_words)
+    sets = stage(_prefixes(spread, frequent, least_words, bounds), "sets")
     shared = sets.groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("same", "rep")
     shared = stage(shared, "shared")
     some = sets.select("id", "same")
     some = some.join(F.broadcast(shared), "same") if fits(shared) else lookup(some, shared, "same").where("rep is not null")
     members = stage(some.select("id", "rep").distinct(), "members")
-    reps = sets.drop("same", "list1", "list2")
+    reps = sets.drop("same")
     others = members.where("id <> rep").select("id")
     reps = join_bounded(reps, others, "id", "left_anti")
+    light = boundary(_expected(reps, bounds), bounds) if light is None else light
     pairs = stage(_candidates(reps, bounds, light), "candidates")
     return stage(_verified(pairs, rows, bounds), "pairs"), members
 
