@@ -6,7 +6,9 @@ round trips and held-out accuracy.
 
 from __future__ import annotations
 
-from .textform import JOINED, SHAPES, UNSEEN
+import unicodedata
+
+from .lookalikes import confusables, data_file
 
 
 def _quote(s: str) -> str:
@@ -14,17 +16,39 @@ def _quote(s: str) -> str:
 
 
 def _form(column: str) -> str:
-    """The look of a text: look-alikes and widths translated, ignorables left out, accents composed."""
-    old = "".join(SHAPES) + "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) not in "".join(SHAPES))
-    new = "".join(SHAPES.values()) + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c) not in "".join(SHAPES))
-    old += "ёЁїЇK               　"
-    new += "ëËïÏK" + " " * 16
-    unseen = "".join(chr(c) for a, b in UNSEEN if b < 0xE0000 for c in range(a, b + 1))
+    """The look of a text, from Unicode's own data and by rules apart from the operator's tables.
+
+    Each letter that Unicode confuses with a Latin letter of its case becomes that one; a character with a width, a font
+    or a no-break decomposition becomes what it decomposes into; format characters and joiners go.
+    """
+    data = confusables(data_file())
+    latin: dict[tuple[str, bool], str] = {}
+    for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        latin.setdefault((data.get(c, c), c.islower()), c)
+    old, new, gone, longer = [], [], [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        kind, category, parts = unicodedata.decomposition(c), unicodedata.category(c), unicodedata.normalize("NFKC", c)
+        if category == "Cf" or 0xFE00 <= ord(c) <= 0xFE0F:
+            gone.append(c)
+        elif category == "Zs" or c in "\u2010\u2011":
+            old.append(c)
+            new.append(" " if category == "Zs" else "-")
+        elif kind.startswith(("<wide>", "<narrow>", "<font>", "<noBreak>")) and len(parts) == 1:
+            old.append(c)
+            new.append(parts)
+        elif "LIGATURE" in unicodedata.name(c, "") and kind.startswith("<compat>") and parts.isascii():
+            longer.append((c, parts))
+        elif category in ("Lu", "Ll"):
+            plain = unicodedata.normalize("NFD", c)
+            if like := latin.get((data.get(plain[0], plain[0]), plain[0].islower())):
+                looks = unicodedata.normalize("NFC", like + plain[1:])
+                if len(looks) == 1 and looks != c and not c.isascii():
+                    old.append(c)
+                    new.append(looks)
     x = column
-    for a, b in JOINED.items():
-        if a in "ﬀﬁﬂﬃﬄﬆ":
-            x = f"replace({x}, {_quote(a)}, {_quote(b)})"
-    return f"nfc_normalize(translate({x}, {_quote(old + unseen)}, {_quote(new)}))"
+    for a, b in longer:
+        x = f"replace({x}, {_quote(a)}, {_quote(b)})"
+    return f"nfc_normalize(translate({x}, {_quote(''.join(old + gone))}, {_quote(''.join(new))}))"
 
 
 _WORDS = r"array_to_string(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), ' ')"
@@ -71,13 +95,16 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 ORACLES: dict[str, str] = {
-    "p1_found": f"""
-WITH a AS (SELECT DISTINCT request_id, prompt, {_form("prompt")} AS f FROM check_requests WHERE trim(prompt, chr(9) || chr(10) || chr(13) || ' ') <> ''),
-b AS (SELECT DISTINCT record_id, prompt, {_form("prompt")} AS f FROM cache_records WHERE prompt IS NOT NULL)
-SELECT DISTINCT a.request_id, b.record_id FROM a JOIN b ON a.f = b.f AND a.prompt <> b.prompt WHERE trim(a.f) <> ''""",
     "p4_found": _P4 + "SELECT origin, first_id, id AS copy_id FROM g WHERE id <> first_id",
     "p4_distinct": _P4 + "SELECT origin, first_id, count(*) AS copies FROM g GROUP BY origin, first_id",
     "p5_found": _P5,
     "p5_groups": _P5_GROUPS,
     "p7_found": _P7,
 }
+if data_file():  # Unicode's data on look-alikes comes with Spark
+    _A = f"a AS (SELECT DISTINCT request_id, prompt, {_form('prompt')} AS f FROM check_requests WHERE prompt IS NOT NULL)"
+    ORACLES["p1_found"] = f"""
+WITH {_A}, b AS (SELECT DISTINCT record_id, prompt, {_form("prompt")} AS f FROM cache_records WHERE prompt IS NOT NULL)
+SELECT DISTINCT a.request_id, b.record_id FROM a JOIN b ON a.f = b.f AND a.prompt <> b.prompt WHERE trim(a.f, chr(9) || chr(10) || chr(13) || ' ') <> ''"""
+    ORACLES["p1_classes"] = f"""
+WITH {_A} SELECT DISTINCT request_id, min(request_id) OVER (PARTITION BY f) AS first_id FROM a WHERE trim(f, chr(9) || chr(10) || chr(13) || ' ') <> ''"""

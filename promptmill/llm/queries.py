@@ -28,6 +28,17 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textform.forms(a.union(b), "prompt").select("origin", "row_id", "form").distinct()
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first request whose prompt looks like that of a request."""
+    return textform.looking_like(_table(spark, sf_dir, "check_requests"), "prompt", "request_id")
+
+
+def p1_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with odd characters in all prompts, by what decided their spelling."""
+    requests, records = (_table(spark, sf_dir, t).select("prompt") for t in ("check_requests", "cache_records"))
+    return textform.decided(requests.union(records), "prompt")
+
+
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = truncation.values_of(_table(spark, sf_dir, "cache_records"), "record_id", "local_name", "payload", "cache_records")
     return a.union(truncation.values_of(_table(spark, sf_dir, "set_requests"), "set_id", "upstream", "uncached_payload", "set_requests"))
@@ -93,5 +104,5 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p6_packing, p6_fill, p7_found, p8_pieces)
+    f.__name__: f for f in (p1_found, p1_forms, p1_classes, p1_decided, p2_found, p2_shares, p3_found, p4_found, p4_distinct, p5_found, p5_groups, p6_packing, p6_fill, p7_found, p8_pieces)
 }

@@ -7,7 +7,7 @@ from promptmill.llm import queries
 from ..oracle import connect, rows, sql_rows
 from .conftest import DATA
 
-NO_SQL = {"p1_forms", "p2_found", "p2_shares", "p3_found", "p6_packing", "p6_fill", "p8_pieces"}
+NO_SQL = {"p1_forms", "p1_decided", "p2_found", "p2_shares", "p3_found", "p6_packing", "p6_fill", "p8_pieces"}
 
 
 def test_which_have_sql():

@@ -8,8 +8,9 @@ from promptmill.llm import textform as T
 SAME = [
     ("Ｈｅｌｌｏ？", "Hello?"), ("cafe\u0301", "café"), ("re\u200bsume", "resume"), ("a\u00a0b\u3000c\u2009d", "a b c d"), ("well\u2010known\u2011x", "well-known-x"), ("ﬁnal ﬂow", "final flow"),
     ("Tеѕt", "Test"), ("\u212aelvin", "Kelvin"), ("Η", "H"), ("а̀ b", "à b"), ("\ufeffx", "x"), ("a\r\nb", "a\nb"), ("ё", "е\u0308"), ("й", "и\u0306"), ("сор", "cop"), ("Ⅳ", "IV"), ("𝐀", "A"),
+    ("νex", "vex"), ("ρ", "p"), ("օս", "ou"), ("հոt", "hոt"), ("Ꭺ Ꮃ Ꮯ", "A W C"), ("ꓮ", "A"), ("Ⲟ", "O"), ("ѵ", "v"), ("well\u2043known", "well-known"), ("a\u2024b", "a.b"),
 ]
-DIFFERENT = [("Hello", "hello"), ("cafe", "café"), ("40", "⁴⁰"), ("a.b", "a,b"), ("a b", "ab"), ("l1", "ll"), ("a  b", "a b"), ("a\nb", "a b"), ("è", "é"), ("x²", "x2"), ("½", "1/2"), ("rn", "m"), ("O0", "00"), ("–", "-"), ("“a”", '"a"')]
+DIFFERENT = [("Hello", "hello"), ("cafe", "café"), ("40", "⁴⁰"), ("a.b", "a,b"), ("a b", "ab"), ("l1", "ll"), ("a  b", "a b"), ("a\nb", "a b"), ("è", "é"), ("x²", "x2"), ("½", "1/2"), ("rn", "m"), ("O0", "00"), ("–", "-"), ("г", "r"), ("б", "6"), ("З", "3"), ("Ь", "b"), ("σ", "o"), ("“a”", '"a"')]
 
 
 @pytest.fixture(scope="module", params=[False, True])
@@ -39,10 +40,38 @@ def test_null_empty_blank_long(form):
     assert len(form("Ａ" * 200_000)) == 200_000
 
 
-def test_canonical_spelling_is_a_word_of_one_script(vocabulary):
+def test_canonical_spelling_is_of_one_script(vocabulary):
     if vocabulary:
-        form = T.tries(vocabulary).form
+        t = T.tries(vocabulary)
+        form = t.form
         assert form("вcе") == "все" and form("Пoчeмy") == "Почему" and form("cооl") == "cool"
+        # Latin text stays Latin, also where a Cyrillic word has the same look; what looks like it becomes it.
+        assert form("Set ee to 1") == form("Set ее to 1") == "Set ee to 1"
+        for w in ("ee", "Bc", "poc", "yc", "cx", "TA", "óv"):
+            assert form(w) == w
+        # In a Cyrillic text shared shapes are Cyrillic, except where only a Latin word is known.
+        assert form("Она взяла ee") == form("Она взяла ее") == "Она взяла ее"
+        assert form("Он знает TCP и HTTP") == "Он знает TCP и HTTP"
+
+
+def test_the_trie_chooses_between_readings(vocabulary):
+    if vocabulary:
+        t = T.tries(vocabulary)
+        assert t.by_table("ӏreland") == "lreland" and t.form("ӏreland") == "Ireland"  # one stroke: l by table, I in the word
+        assert t.by_table("Ιike") == "Iike" and t.form("Ιike") == "like"
+        assert t.form("ӏike") == "like" and t.form("Cyrӏis") == "Cyrlis"
+        assert t.accepted("ӏreland")[0] == (0.25, "Ireland")
+
+
+def test_what_decided(spark, vocabulary):
+    df = spark.createDataFrame([("Ｈello ӏreland Pеpkag",), ("plain",), (None,), ("Ｈello",)], "t string")
+    got = dict(map(tuple, T.decided(df, "t", vocabulary).collect()))
+    assert got == ({"trie": 2, "second": 1, "table": 1} if vocabulary else {"table": 4})
+
+
+def test_fixed_table_alone():
+    t = T.Tries((), T.looks(None))
+    assert t.form("Tеѕt") == "Test" and t.form("Ꭺ") == "Ꭺ"
 
 
 def test_disguises_never_matter(form):
@@ -72,15 +101,21 @@ def test_automaton_costs():
     assert t.accepted("c\u200bool", 1) == [(0, "cool"), (1, "coal"), (1, "wool")]
     assert t.accepted("col", 1) == [(1, "cool"), (1, "coal")]
     assert t.accepted("xyz", 1) == []
+    assert t.accepted("col") == []
 
 
 def test_fast_paths_equal_traversal(vocabulary):
     if vocabulary:
         t = T.tries(vocabulary)
-        for w in list(t.rank)[:4000] + ["Bce", "ee", "cop", "größer", "tëst"]:
+        for w in [w for w in t.rank if T._latin.fullmatch(w)][:4000] + ["Bce", "ee", "cop", "größer", "tëst"]:
             assert t.form(w) == t.select(w), w
 
 
+def test_looking_like(spark, vocabulary):
+    df = spark.createDataFrame([(3, "Ａ b"), (1, "A b"), (2, "a b"), (5, None), (6, " "), (None, "A b"), (3, "Ａ b")], "id bigint, t string")
+    assert sorted(map(tuple, T.looking_like(df, "t", "id", vocabulary).collect())) == [(1, 1), (2, 2), (3, 1)]
+
+
 def test_same_looking(spark, vocabulary):
     a = [(1, "Hello there", "x"), (1, "Hello there", "x"), (2, "Ｈello there", "x"), (3, None, "x"), (4, "  ", "x"), (5, "hello there", "x"), (None, "Hello there", "x")]
     b = [(10, "Hello there", 0), (11, "Hеllo\u00a0there", 0), (12, "\u200b", 0), (13, None, 0), (11, "Hеllo\u00a0there", 0)]
