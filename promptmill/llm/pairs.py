@@ -234,27 +234,28 @@ def defect(prompt: str | None, payload: str | None, cut: bool | None, form: Call
     return "wrong_language" if is_wrong_language(p, a, asked, given) else None
 
 
-def defects(pairs: DataFrame, row_id: str = "record_id", prompt: str = "prompt", payload: str = "payload", source: str = "local_name", model: truncation.Model | None = None, origin: str = "pairs", vocabulary_path: str | None = textform.VOCABULARY) -> DataFrame:
+def defects(pairs: DataFrame, row_id: str = "record_id", prompt: str = "prompt", payload: str = "payload", source: str = "local_name", trained: truncation.Trained | None = None, origin: str = "pairs", vocabulary_path: str | None = textform.VOCABULARY) -> DataFrame:
     """(row_id, defect) of each pair that has one; one defect per row, the first of empty, truncated, refusal, echo, wrong_language.
 
-    ``model`` says what is cut (fitted on these payloads if none is given); ``origin`` is these rows' name in it.
+    ``trained`` says what is cut (fitted on these payloads if none is given); ``origin`` is these rows' name in it.
     Rows without an id are left out; exact repeats come out once (of rows with one id and different texts, the
     smallest defect). A null or blank prompt alone is no defect. Other columns don't matter.
     """
     spark = pairs.sparkSession
     ship(spark)
-    model = model or truncation.train(truncation.values_of(pairs, row_id, source, payload, origin))
-    held = spark.sparkContext.broadcast(model)
+    trained = trained or truncation.train(truncation.values_of(pairs, row_id, source, payload, origin))
+    held = spark.sparkContext.broadcast(trained.model)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, form = held.value, textform.tries(vocabulary_path).form
         for b in batches:
             got = []
-            for i, s, p, a in zip(b["i"], b["s"], b["p"], b["a"], strict=True):
-                if d := defect(p, a, m.is_cut(origin, s, a), form):
+            for i, p, a, near in zip(b["i"], b["p"], b["a"], b["near"], strict=True):
+                if d := defect(p, a, m.is_cut(a, near), form):
                     got.append((i, d))
             yield pd.DataFrame(got, columns=[row_id, "defect"])
 
-    rows = parallel(pairs.select(F.col(row_id).cast("bigint").alias("i"), F.col(source).cast("string").alias("s"), F.col(prompt).alias("p"), F.col(payload).alias("a")).where("i is not null"))
+    rows = parallel(pairs.select(F.lit(origin).alias("origin"), F.col(row_id).cast("bigint").alias("i"), F.col(source).cast("string").alias("source"), F.col(prompt).alias("p"), F.col(payload).alias("a")).where("i is not null"))
+    rows = truncation.near_limit(rows, trained.limits, "a").select("i", "p", "a", "near")
     found = rows.mapInPandas(find, f"`{row_id}` bigint, defect string")
     return found.groupBy(row_id).agg(F.min("defect").alias("defect"))

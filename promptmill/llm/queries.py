@@ -55,8 +55,8 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defects of the records. What counts as cut is what p2_found finds: one model, fitted on both tables."""
-    model = truncation.train(_values(spark, sf_dir))
-    return pairs.defects(_table(spark, sf_dir, "cache_records"), model=model, origin="cache_records")
+    trained = truncation.train(_values(spark, sf_dir))
+    return pairs.defects(_table(spark, sf_dir, "cache_records"), trained=trained, origin="cache_records")
 
 
 def _p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:

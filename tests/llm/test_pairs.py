@@ -65,7 +65,8 @@ def test_long_texts_do_not_fail():
 def test_defects_of_a_table(spark, vocabulary):
     rows = [(1, ASK, None, "s", 0), (1, ASK, None, "s", 0), (2, ASK, "It is narrow because it is measured slowly.", None, 0), (3, None, "fine.", "s", 0), (None, ASK, "", "s", 0), (4, ASK, ASK, "s", 0)]
     df = spark.createDataFrame(rows, "record_id bigint, prompt string, payload string, local_name string, defect int")
-    model = truncation.fit(["It is whole. It is done."] * 30, frozenset(), {})
-    got = P.defects(df, model=model, vocabulary_path=vocabulary)
+    counts = truncation.statistics(truncation.values_of(df, "record_id", "local_name", "payload", "pairs"), 1)
+    trained = truncation.Trained(truncation.fit([truncation.Sample("It is whole. It is done.")] * 30, frozenset()), truncation.source_limits(counts))
+    got = P.defects(df, trained=trained, vocabulary_path=vocabulary)
     assert sorted(map(tuple, got.collect())) == [(1, "empty"), (4, "echo")]
     assert P.defects(df.where("false"), vocabulary_path=vocabulary).count() == 0
