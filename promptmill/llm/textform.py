@@ -231,6 +231,11 @@ def tries(path: str | None, look: Looks | None = None) -> Tries:
     return Tries(vocabulary(path) if path else (), look)
 
 
+def visible(text: str) -> str:
+    """The text without characters that are never drawn."""
+    return _drop.sub("", text)
+
+
 def by_table(text: str) -> str:
     """The form by table alone."""
     return tries(None).by_table(text)
