@@ -68,6 +68,7 @@ class Tries:
         self.shapes: dict[str, str] = {}
         self.memo: dict[tuple[str, bool], str] = {}
         self.tally: Counter = Counter()
+        self._votes = Votes(self)
         for w in words:
             if w in self.rank:
                 continue
@@ -196,12 +197,7 @@ class Tries:
         """Whether more tokens have letters that only Cyrillic has than have ones that only Latin has: of their looks alone."""
         if not _cyrillic_letter.search(text):
             return False
-        n = 0
-        for m in _wordy.finditer(text):
-            token = m[0]
-            has = self._scripts(token) if token.isascii() else self._scripts("".join(self.units(token)))
-            n += has[1] - has[0]
-        return n > 0
+        return sum(map(self._votes.__getitem__, _wordy.findall(text))) > 0
 
     def _token(self, token: str, cyrillic: bool) -> str:
         if (got := self.memo.get((token, cyrillic))) is None:
@@ -211,6 +207,20 @@ class Tries:
         return got
 
 
+class Votes(dict):
+    """Tokens that have letters of Cyrillic alone (1), of Latin alone (-1), of neither or of both (0), remembered."""
+
+    def __init__(self, tries: Tries) -> None:
+        self.tries = tries
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        latin, cyrillic = Tries._scripts(token if token.isascii() else "".join(self.tries.units(token)))
+        got = self[token] = cyrillic - latin
+        return got
+
+
 def vocabulary(path: str) -> list[str]:
     """Whole words of a rank file: tokens of two letters or more behind a space, best rank first."""
     words = []
