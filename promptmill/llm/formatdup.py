@@ -113,7 +113,8 @@ def _scanned(records: DataFrame, runs: bool) -> tuple[DataFrame, DataFrame]:
     ship(records.sparkSession)
     n = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["origin", "key", "id"]
-    got = records.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_scan(runs), SCAN)
+    # The ranges are found by a sample, which would parse everything once more.
+    got = stage(records.select(*order), "records").repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_scan(runs), SCAN)
     got = stage(got, "runs")
     edges = got.where(F.col("kind") == EDGE).groupBy("origin", "edge").agg(F.min("first_id").alias("to_id"), F.collect_set("first_id").alias("local"))
     moved = edges.select("origin", "to_id", F.explode("local").alias("local")).where("local <> to_id")
