@@ -7,6 +7,7 @@ all vectors is many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,16 @@ from pyspark.sql import functions as F
 
 from ..model import TOP_K
 from ..scale import parallel, running, ship, stage
-from .vectors import DECIMALS, best, matrix, merge, normalise
+from .vectors import best, best_of, chunked, matrix, merge, normalise
 
 MOST_CLUSTERS = 65_536
 
 
+def clusters_for(n: int, least: int = 16) -> int:
+    """Clusters for ``n`` vectors: about the square root, a multiple of 4, so that assigning and probing cost alike."""
+    return min(MOST_CLUSTERS, max(least, 4 * math.ceil(math.sqrt(n) / 4)))
+
+
 def bootstrap(vectors: DataFrame, clusters: int) -> DataFrame:
     """(cluster_id, vec_id, v): the first vectors by id become the centroids."""
     if not 0 < clusters <= MOST_CLUSTERS:
@@ -65,23 +71,7 @@ def search(queries: DataFrame, members: DataFrame, centroids: DataFrame, k: int
     """
     ship(queries.sparkSession)
     probes = stage(assign(queries.withColumnRenamed("query_id", "vec_id"), centroids, nprobe).select(F.col("vec_id").alias("query_id"), "v", "cluster_id"), "probes")
-    sizes = members.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("mc"))
-    asked = probes.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("qc"))
-    plan = F.broadcast(stage(sizes.join(asked, "cluster_id"), "plan"))  # a row for each cluster: at most MOST_CLUSTERS
-    m = members.join(plan, "cluster_id").withColumn("mb", F.pmod(F.xxhash64("vec_id"), F.col("mc")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qc") - 1)))
-    q = probes.join(plan, "cluster_id").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qc")).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mc") - 1)))
-    on = ["cluster_id", "mb", "qb"]
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = b["vec_id"].to_numpy(np.int64)
-        qv, mv = matrix(a["v"]), matrix(b["v"])
-        rows, cols = best(qv @ mv.T, ids, k)
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "vec_id": ids[cols], "score": np.round((qv[rows] * mv[cols]).sum(1), DECIMALS)})
-
-    parts = q.select(*on, "query_id", "v").groupBy(*on).cogroup(m.select(*on, "vec_id", "v").groupBy(*on)).applyInPandas(score, "query_id bigint, vec_id bigint, score double")
-    return merge(parts, k)
+    return merge(chunked(probes, members, "cluster_id", lambda q, m: best_of(q, m, k), chunk), k)
 
 
 def lloyd(assigned: DataFrame) -> DataFrame:

@@ -1,13 +1,13 @@
 """Vector arithmetic and exact search.
 
-Search multiplies blocks: a block of queries, bounded in rows, is broadcast; every partition of the vectors scores it
-with one matrix product and keeps its own best k, and the partial lists are merged. No pair is ever a row.
+Search multiplies blocks: a block of queries, bounded in rows, is broadcast, or chunks of many queries meet chunks of
+vectors; each is scored with one matrix product that keeps its own best k, and the partial lists are merged. No pair is
+ever a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import TOP_K
-from ..scale import parallel, ship
+from ..scale import fits, parallel, ship, stage
 
 #: Queries of one block: with 384 dimensions some 12 MB.
 QUERY_BLOCK = 4096
@@ -78,26 +78,60 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, rnk, score): the k vectors of greatest dot product for each query.
 
-    ``queries`` (query_id, v) is a stated set; it is taken in blocks of at most ``query_block`` rows. ``vectors`` has
-    (vec_id, v). Rows with a null id or vector take no part; equal scores rank by vec_id. Empty sides give no rows.
+    ``queries`` (query_id, v) is a stated set: at most ``query_block`` of them are broadcast to the vectors, more meet them
+    in chunks (see ``chunked``). ``vectors`` has (vec_id, v). Rows with a null id or vector take no part; equal scores
+    rank by vec_id. Empty sides give no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
     schema = "query_id bigint, vec_id bigint, score double"
     queries = queries.where("query_id is not null and v is not null").select("query_id", "v")
-    vectors = parallel(vectors.where("vec_id is not null and v is not null").select("vec_id", "v"))
-    n = queries.count()
-    blocks = max(1, -(-2 * n // query_block)) if n > query_block else 1
-    found = []
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pdf = block.toPandas()
-        if len(pdf):
-            held = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(np.int64), matrix(pdf["v"])))
-            found.append(vectors.mapInPandas(_search(held, k), schema))
-    if not found:
+    vectors = vectors.where("vec_id is not null and v is not null").select("vec_id", "v")
+    block = _block(queries, query_block)
+    if block is None:
+        return merge(_all_chunks(queries, vectors, lambda q, m: best_of(q, m, k), query_block), k)
+    if not len(block):
         return spark.createDataFrame([], "query_id bigint, vec_id bigint, rnk int, score double")
-    return merge(reduce(DataFrame.unionAll, found), k)
+    held = spark.sparkContext.broadcast((block["query_id"].to_numpy(np.int64), matrix(block["v"])))
+    return merge(parallel(vectors).mapInPandas(_search(held, k), schema), k)
+
+
+def _block(queries: DataFrame, most: int) -> pd.DataFrame | None:
+    """The queries, if there are at most ``most``."""
+    got = queries.limit(most + 1).toPandas()
+    return got if len(got) <= most else None
+
+
+def chunked(queries: DataFrame, members: DataFrame, key: str, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], chunk: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, score) of ``score`` for each chunk of queries (key, query_id, v) against each chunk of members
+    (key, vec_id, v) of the same ``key``.
+
+    Keys are cut into chunks of about ``chunk`` rows a side, so a key that holds a third of all rows is many tasks, and a
+    vector is shipped once for each ``chunk`` vectors that it is compared with.
+    """
+    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("mc"))
+    asked = queries.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("qc"))
+    plan = stage(sizes.join(asked, key), "plan")
+    plan = F.broadcast(plan) if fits(plan) else plan
+    m = members.join(plan, key).withColumn("mb", F.pmod(F.xxhash64("vec_id"), F.col("mc")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qc") - 1)))
+    q = queries.join(plan, key).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qc")).cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mc") - 1)))
+    on = [key, "mb", "qb"]
+    return q.select(*on, "query_id", "v").groupBy(*on).cogroup(m.select(*on, "vec_id", "v").groupBy(*on)).applyInPandas(score, "query_id bigint, vec_id bigint, score double")
+
+
+def best_of(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of a chunk of members for each of a chunk of queries."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    ids = b["vec_id"].to_numpy(np.int64)
+    qv, mv = matrix(a["v"]), matrix(b["v"])
+    rows, cols = best(qv @ mv.T, ids, k)
+    return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "vec_id": ids[cols], "score": np.round((qv[rows] * mv[cols]).sum(1), DECIMALS)})
+
+
+def _all_chunks(queries: DataFrame, vectors: DataFrame, score: Callable, chunk: int) -> DataFrame:
+    one = F.lit(0).alias("_all")
+    return chunked(stage(queries.select(one, "query_id", "v"), "queries"), vectors.select(one, "vec_id", "v"), "_all", score, chunk)
 
 
 def _search(held, k: int):
@@ -129,17 +163,27 @@ def within(queries: DataFrame, vectors: DataFrame, least: float, query_block: in
     ship(spark)
     schema = "query_id bigint, vec_id bigint, score double"
     queries = queries.where("query_id is not null and v is not null").select("query_id", "v")
-    vectors = parallel(vectors.where("vec_id is not null and v is not null").select("vec_id", "v"))
-    n = queries.count()
-    blocks = max(1, -(-2 * n // query_block)) if n > query_block else 1
-    found = []
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pdf = block.toPandas()
-        if len(pdf):
-            held = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(np.int64), matrix(pdf["v"])))
-            found.append(vectors.mapInPandas(_within(held, least), schema))
-    return reduce(DataFrame.unionAll, found).dropDuplicates(["query_id", "vec_id"]) if found else spark.createDataFrame([], schema)
+    vectors = vectors.where("vec_id is not null and v is not null").select("vec_id", "v")
+    block = _block(queries, query_block)
+    if block is None:
+        found = _all_chunks(queries, vectors, lambda q, m: _at_least(q, m, least), query_block)
+    elif not len(block):
+        return spark.createDataFrame([], schema)
+    else:
+        held = spark.sparkContext.broadcast((block["query_id"].to_numpy(np.int64), matrix(block["v"])))
+        found = parallel(vectors).mapInPandas(_within(held, least), schema)
+    return found.dropDuplicates(["query_id", "vec_id"])
+
+
+def _at_least(a: pd.DataFrame, b: pd.DataFrame, least: float) -> pd.DataFrame:
+    """All pairs of a chunk of queries and a chunk of members that reach ``least``."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    q, v = matrix(a["v"]), matrix(b["v"])
+    rows, cols = np.nonzero(q @ v.T >= least - 1e-9)
+    scores = np.concatenate([np.round((q[rows[k : k + 8192]] * v[cols[k : k + 8192]]).sum(1), DECIMALS) for k in range(0, len(rows), 8192)]) if len(rows) else np.empty(0)
+    ok = scores >= least
+    return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows[ok]], "vec_id": b["vec_id"].to_numpy()[cols[ok]], "score": scores[ok]})
 
 
 def _within(held, least: float, rows_each: int = 1024):

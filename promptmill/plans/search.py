@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import cache, encode, ivf, vectors
 from ..scale import running, stage
 
-CLUSTERS = 16
-#: Clusters that the ``*_recall90`` searches probe: the fewest of those that ivf_recall tries that reach a recall of 0.9 here.
-NPROBE = 12
+#: Shares of the clusters that are probed: what reaches a recall of 0.9 on these vectors, which are random and have no
+#: clusters of their own. For a lookup the nearest vector counts if it is very near; for the ten nearest all ten count.
+LOOKUP_SHARE, TOP_SHARE = (1, 8), (5, 6)
 DIMENSIONS = 64
 #: Share of the total weight at which the next seed is picked: a pseudo-random number from a hash.
 SHARE = int(hashlib.md5(b"seed-1").hexdigest()[:8], 16) / 2**32
@@ -46,29 +46,45 @@ def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     n = v.count()
     nxt = v.select(F.pmod(F.col("vec_id") - 1, F.lit(n)).alias("vec_id"), F.col("v").alias("w"))
-    weight = 0.5 - 0.5 * (F.col("vec_id") % 10) / 9
+    weight = 0.5 - 0.5 * ((F.col("vec_id") + F.floor(F.col("vec_id") / 100)) % 10) / 9
     return v.join(nxt, "vec_id").select(F.col("vec_id").alias("query_id"), vectors.blend(F.col("v"), F.col("w"), weight).alias("v"))
 
 
 def _centroids(v: DataFrame) -> DataFrame:
-    return ivf.bootstrap(v, CLUSTERS)
+    return ivf.bootstrap(v, ivf.clusters_for(v.count()))
 
 
-def _lookup(spark: SparkSession, sf_dir: str, nprobe: int) -> DataFrame:
+def _probes(centroids: DataFrame, share: tuple[int, int] | None) -> int:
+    """How many clusters a share of them is; one if there is no share."""
+    return -(-centroids.count() * share[0] // share[1]) if share else 1
+
+
+def _nearest(spark: SparkSession, sf_dir: str, share: tuple[int, int] | None) -> DataFrame:
     v = _vectors(spark, sf_dir)
     c = _centroids(v)
-    found = ivf.search(_derived(spark, sf_dir), ivf.assign(v, c).drop("score"), c, k=1, nprobe=nprobe)
-    return cache.decide(found)
+    return ivf.search(_derived(spark, sf_dir), ivf.assign(v, c).drop("score"), c, k=1, nprobe=_probes(c, share))
 
 
 def lookup_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HIT or MISS for every request vector by a probe of its nearest cluster alone: the reference-compatible variant, which misses hits."""
-    return _lookup(spark, sf_dir, 1)
+    """HIT or MISS for every request vector, by a probe of the nearest eighth of the clusters (see lookup_recall)."""
+    return cache.decide(_nearest(spark, sf_dir, LOOKUP_SHARE))
+
+
+def lookup_decision_nprobe1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a probe of the nearest cluster alone: the reference-compatible variant, which misses hits."""
+    return cache.decide(_nearest(spark, sf_dir, None))
 
 
-def lookup_decision_recall90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by a probe of the ``NPROBE`` nearest clusters."""
-    return _lookup(spark, sf_dir, NPROBE)
+def lookup_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits that exact search finds for the request vectors, and how many of them the index finds, by clusters probed."""
+    v = _vectors(spark, sf_dir)
+    exact = stage(vectors.top_k(_derived(spark, sf_dir), v, 1).where("score >= 0.85").select("query_id"), "hits")
+    out = None
+    for name, share in (("nprobe1", None), ("lookup_decision", LOOKUP_SHARE)):
+        got = _nearest(spark, sf_dir, share).where("rnk = 1 and score >= 0.85").select("query_id", F.lit(1).alias("got"))
+        part = exact.join(got, "query_id", "left").agg(F.lit(name).alias("search"), F.count(F.lit(1)).alias("hits"), F.count("got").alias("found"))
+        out = part if out is None else out.union(part)
+    return out.withColumn("recall", F.round(F.col("found") / F.col("hits"), 6))
 
 
 def lookup_decision_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,58 +111,58 @@ def ivf_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.assign(v, _centroids(v)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _probed(spark: SparkSession, sf_dir: str, nprobe: int) -> DataFrame:
+def _probed(spark: SparkSession, sf_dir: str, share: tuple[int, int] | None) -> DataFrame:
     v = _vectors(spark, sf_dir)
     c = _centroids(v)
-    return _scored(ivf.search(_queries(v), ivf.assign(v, c).drop("score"), c, nprobe=nprobe))
+    return _scored(ivf.search(_queries(v), ivf.assign(v, c).drop("score"), c, nprobe=_probes(c, share)))
 
 
 def ivf_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest in the nearest cluster alone: the reference-compatible variant, of low recall (see ivf_recall)."""
-    return _probed(spark, sf_dir, 1)
+    """Ten nearest in the nearest five sixths of the clusters (see ivf_recall)."""
+    return _probed(spark, sf_dir, TOP_SHARE)
 
 
-def ivf_probe_topk_recall90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest in the ``NPROBE`` nearest clusters."""
-    return _probed(spark, sf_dir, NPROBE)
+def ivf_probe_topk_nprobe1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest in the nearest cluster alone: the reference-compatible variant, of low recall."""
+    return _probed(spark, sf_dir, None)
 
 
-def _two_tiers(spark: SparkSession, sf_dir: str, nprobe: int) -> DataFrame:
+def _two_tiers(spark: SparkSession, sf_dir: str, share: tuple[int, int] | None) -> DataFrame:
     v = _vectors(spark, sf_dir)
     c = _centroids(v)
     flat, rest = v.where("vec_id % 10 = 5"), v.where("vec_id % 10 <> 5")
-    found = vectors.top_k(_queries(v), flat).unionByName(ivf.search(_queries(v), ivf.assign(rest, c).drop("score"), c, nprobe=nprobe))
+    found = vectors.top_k(_queries(v), flat).unionByName(ivf.search(_queries(v), ivf.assign(rest, c).drop("score"), c, nprobe=_probes(c, share)))
     return _scored(vectors.merge(found, 10))
 
 
 def two_tier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best of a flat tier (every tenth vector) and of the nearest cluster of a clustered tier (the rest) in one list: the reference-compatible variant."""
-    return _two_tiers(spark, sf_dir, 1)
+    """Best of a flat tier (every tenth vector) and of five sixths of a clustered tier (the rest) in one list."""
+    return _two_tiers(spark, sf_dir, TOP_SHARE)
 
 
-def two_tier_candidates_recall90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the ``NPROBE`` nearest clusters of the clustered tier."""
-    return _two_tiers(spark, sf_dir, NPROBE)
+def two_tier_candidates_nprobe1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the nearest cluster of the clustered tier alone: the reference-compatible variant."""
+    return _two_tiers(spark, sf_dir, None)
 
 
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the exact ten nearest that the index finds, by number of clusters probed. 12 of 16 reach 0.9."""
+    """Share of the exact ten nearest that the index finds, by sixths of the clusters probed (0: one cluster)."""
     v = _vectors(spark, sf_dir)
     c = _centroids(v)
     q = _queries(v)
     exact = stage(vectors.top_k(q, v).select("query_id", "vec_id"), "exact")
     members = stage(ivf.assign(v, c).drop("score"), "members")
     out = None
-    for nprobe in (1, 4, 12, 16):
-        got = ivf.search(q, members, c, nprobe=nprobe).select("query_id", "vec_id", F.lit(1).alias("got"))
-        part = exact.join(got, ["query_id", "vec_id"], "left").agg(F.lit(nprobe).alias("nprobe"), F.round(F.count("got") / F.count(F.lit(1)), 6).alias("recall"))
+    for sixths in (0, 1, 3, 5):
+        got = ivf.search(q, members, c, nprobe=_probes(c, (sixths, 6) if sixths else None)).select("query_id", "vec_id", F.lit(1).alias("got"))
+        part = exact.join(got, ["query_id", "vec_id"], "left").agg(F.lit(sixths).alias("sixths"), F.round(F.count("got") / F.count(F.lit(1)), 6).alias("recall"))
         out = part if out is None else out.union(part)
     return out
 
 
 def ivf_capacity_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return ivf.capacity_positions(ivf.assign(v, _centroids(v))).where("pos > 40")
+    return ivf.capacity_positions(ivf.assign(v, _centroids(v))).where("pos > 20")
 
 
 def kmeans_lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +196,8 @@ def kmeanspp_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ivf.minibatch(_vectors(spark, sf_dir), CLUSTERS)
+    v = _vectors(spark, sf_dir)
+    got = ivf.minibatch(v, ivf.clusters_for(v.count()))
     return got.select("cluster_id", F.posexplode("v").alias("dim", "value"))
 
 
@@ -218,11 +235,14 @@ def semantic_near_dups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
-_C = f"c AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS cluster_id, vec_id, v FROM v ORDER BY vec_id LIMIT {CLUSTERS})"
+_C = """kk AS (SELECT least(65536, greatest(16, 4 * ceil(sqrt(count(*)) / 4)))::INT AS k FROM v),
+c AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS cluster_id, vec_id, v FROM v QUALIFY row_number() OVER (ORDER BY vec_id) <= (SELECT k FROM kk))"""
+_SHARE = "(SELECT (k * {0} + {1} - 1) // {1} FROM kk)"
+_NEAR_SHARE, _TEN_SHARE = _SHARE.format(*LOOKUP_SHARE), _SHARE.format(*TOP_SHARE)
 _NEAR = "round(list_dot_product({a}, {b}), 12)"
 
 
-def _assign(name: str, source: str, centroids: str, key: str = "vec_id", n: int = 1) -> str:
+def _assign(name: str, source: str, centroids: str, key: str = "vec_id", n: int | str = 1) -> str:
     return f"""{name} AS (SELECT * FROM (SELECT x.{key}, x.v, c.cluster_id, list_dot_product(x.v, c.v) AS score,
       row_number() OVER (PARTITION BY x.{key} ORDER BY round(list_dot_product(x.v, c.v), 12) DESC, c.cluster_id) AS r FROM {source} x CROSS JOIN {centroids} c) WHERE r <= {n})"""
 
@@ -233,11 +253,12 @@ _PAIRS = "SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.v, v.v
 _PROBED = "SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM a q JOIN a m USING (cluster_id) WHERE q.vec_id % 100 = 0"
 _PROBED_MORE = "SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM p q JOIN a m USING (cluster_id) WHERE q.vec_id % 100 = 0"
 _DERIVED = """n AS (SELECT count(*) AS n FROM v),
-b AS (SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda p: (0.5 + 0.5 * (a.vec_id % 10) / 9) * p[1] + (0.5 - 0.5 * (a.vec_id % 10) / 9) * p[2]) AS v
+b AS (SELECT a.vec_id, list_transform(list_zip(a.v, b.v), lambda p: (0.5 + 0.5 * ((a.vec_id + a.vec_id // 100) % 10) / 9) * p[1] + (0.5 - 0.5 * ((a.vec_id + a.vec_id // 100) % 10) / 9) * p[2]) AS v
       FROM v a CROSS JOIN n JOIN v b ON b.vec_id = (a.vec_id + 1) % n.n),
 d AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM b)"""
 _DECIDE = """SELECT query_id, CASE WHEN s >= 0.85 THEN vec_id END AS vec_id, round(s, 6) AS score, CASE WHEN s >= 0.85 THEN 'HIT' ELSE 'MISS' END AS decision FROM (
   SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM ({pairs})) WHERE r = 1"""
+_JOINED = "SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM p q JOIN a m USING (cluster_id)"
 _LLOYD = f"""{_assign("a", "v", "c")},
 e AS (SELECT cluster_id, unnest(range({DIMENSIONS})) AS dim, unnest(v) AS x FROM a),
 m AS (SELECT cluster_id, dim, sum(x) AS x FROM e GROUP BY ALL),
@@ -247,10 +268,12 @@ lv AS (SELECT cluster_id, list(x ORDER BY dim) AS v FROM l GROUP BY cluster_id)"
 ORACLES = {
     "topk_exact": f"WITH {_V} " + _TOP.format(pairs=_PAIRS, k=10),
     "topk_threshold": f"WITH {_V} SELECT * FROM (" + _TOP.format(pairs=_PAIRS, k=10) + ") WHERE score >= 0.3",
-    "lookup_decision": f"WITH {_V}, {_C}, {_DERIVED}, {_assign('a', 'v', 'c')}, {_assign('p', 'd', 'c')} "
-    + _DECIDE.format(pairs="SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM p q JOIN a m USING (cluster_id)"),
-    "lookup_decision_recall90": f"WITH {_V}, {_C}, {_DERIVED}, {_assign('a', 'v', 'c')}, {_assign('p', 'd', 'c', n=NPROBE)} "
-    + _DECIDE.format(pairs="SELECT q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM p q JOIN a m USING (cluster_id)"),
+    "lookup_decision": f"WITH {_V}, {_C}, {_DERIVED}, {_assign('a', 'v', 'c')}, {_assign('p', 'd', 'c', n=_NEAR_SHARE)} " + _DECIDE.format(pairs=_JOINED),
+    "lookup_decision_nprobe1": f"WITH {_V}, {_C}, {_DERIVED}, {_assign('a', 'v', 'c')}, {_assign('p', 'd', 'c')} " + _DECIDE.format(pairs=_JOINED),
+    "lookup_recall": f"""WITH {_V}, {_C}, {_DERIVED}, {_assign("a", "v", "c")}, {_assign("p", "d", "c", n=_NEAR_SHARE)},
+x AS (SELECT DISTINCT q.vec_id FROM d q CROSS JOIN v WHERE round(list_dot_product(q.v, v.v), 12) >= 0.85),
+f AS (SELECT query_id, min(r) AS r FROM (SELECT q.vec_id AS query_id, q.r, round(list_dot_product(q.v, m.v), 12) AS s FROM p q JOIN a m USING (cluster_id)) WHERE s >= 0.85 GROUP BY 1)
+SELECT search, count(*) AS hits, count(f.query_id) AS found, round(count(f.query_id) / count(*), 6) AS recall FROM (VALUES ('nprobe1', 1), ('lookup_decision', 1000000)) t(search, n) CROSS JOIN x LEFT JOIN f ON f.query_id = x.vec_id AND f.r <= n GROUP BY 1""",
     "lookup_decision_exact": f"WITH {_V}, {_DERIVED} " + _DECIDE.format(pairs="SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.v, v.v), 12) AS s FROM d q CROSS JOIN v WHERE q.vec_id % 100 = 0"),
     "lookup_replay": f"""WITH RECURSIVE {_V}, {_C}, {_assign("a", "v", "c")},
 g AS (SELECT x.vec_id, x.cluster_id, list({{'s': -s, 'i': y}} ORDER BY s DESC, y) FILTER (y IS NOT NULL) AS near FROM a x
@@ -265,19 +288,18 @@ SELECT vec_id, cluster_id, CASE WHEN matched IS NULL THEN 'MISS' ELSE 'HIT' END
     "ivf_bootstrap": f"WITH {_V}, {_C} SELECT cluster_id, vec_id FROM c",
     "ivf_assign": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} SELECT vec_id, cluster_id, round(score, 6) AS score FROM a",
     "ivf_cluster_sizes": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} SELECT cluster_id, count(*) AS n FROM a GROUP BY 1",
-    "ivf_probe_topk": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} " + _TOP.format(pairs=_PROBED, k=10),
-    "two_tier_candidates": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} "
+    "ivf_probe_topk_nprobe1": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} " + _TOP.format(pairs=_PROBED, k=10),
+    "two_tier_candidates_nprobe1": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} "
     + _TOP.format(pairs="SELECT * FROM (" + _PROBED + " AND m.vec_id % 10 <> 5) UNION ALL SELECT * FROM (" + _PAIRS + " AND v.vec_id % 10 = 5)", k=10),
-    "ivf_probe_topk_recall90": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')}, {_assign('p', 'v', 'c', n=NPROBE)} " + _TOP.format(pairs=_PROBED_MORE, k=10),
-    "two_tier_candidates_recall90": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')}, {_assign('p', 'v', 'c', n=NPROBE)} "
+    "ivf_probe_topk": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')}, {_assign('p', 'v', 'c', n=_TEN_SHARE)} " + _TOP.format(pairs=_PROBED_MORE, k=10),
+    "two_tier_candidates": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')}, {_assign('p', 'v', 'c', n=_TEN_SHARE)} "
     + _TOP.format(pairs="SELECT * FROM (" + _PROBED_MORE + " AND m.vec_id % 10 <> 5) UNION ALL SELECT * FROM (" + _PAIRS + " AND v.vec_id % 10 = 5)", k=10),
     "ivf_recall": f"WITH {_V}, {_C}, t AS (SELECT query_id, vec_id FROM (" + _TOP.format(pairs=_PAIRS, k=10) + f""")),
-{_assign("a", "v", "c")}, {_assign("p", "v", "c", n=CLUSTERS)},
-g AS (SELECT nprobe, query_id, vec_id, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY s DESC, vec_id) AS rnk FROM (
-  SELECT n.nprobe, q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM (SELECT unnest([1, 4, 12, 16]) AS nprobe) n JOIN p q ON q.r <= n.nprobe JOIN a m USING (cluster_id) WHERE q.vec_id % 100 = 0))
-SELECT nprobe::INT AS nprobe, round(count(g.vec_id) / count(*), 6) AS recall FROM (SELECT unnest([1, 4, 12, 16]) AS nprobe) n CROSS JOIN t
-LEFT JOIN (SELECT * FROM g WHERE rnk <= 10) g USING (nprobe, query_id, vec_id) GROUP BY 1""",
-    "ivf_capacity_overflow": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} SELECT vec_id, cluster_id, pos FROM (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY vec_id) AS pos FROM a) WHERE pos > 40",
+{_assign("a", "v", "c")}, {_assign("p", "v", "c", n="(SELECT k FROM kk)")}, n AS (SELECT sixths, CASE sixths WHEN 0 THEN 1 ELSE (k * sixths + 5) // 6 END AS nprobe FROM kk, (SELECT unnest([0, 1, 3, 5]) AS sixths)),
+g AS (SELECT sixths, query_id, vec_id, row_number() OVER (PARTITION BY sixths, query_id ORDER BY s DESC, vec_id) AS rnk FROM (
+  SELECT n.sixths, q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM n JOIN p q ON q.r <= n.nprobe JOIN a m USING (cluster_id) WHERE q.vec_id % 100 = 0))
+SELECT sixths::INT AS sixths, round(count(g.vec_id) / count(*), 6) AS recall FROM n CROSS JOIN t LEFT JOIN (SELECT * FROM g WHERE rnk <= 10) g USING (sixths, query_id, vec_id) GROUP BY 1""",
+    "ivf_capacity_overflow": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} SELECT vec_id, cluster_id, pos FROM (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY vec_id) AS pos FROM a) WHERE pos > 20",
     "kmeans_lloyd_step": f"WITH {_V}, {_C}, {_LLOYD} SELECT cluster_id, dim::INT AS dim, round(x, 6) + 0.0::DOUBLE AS value FROM l",
     "kmeans_movement": f"WITH {_V}, {_C}, {_LLOYD} SELECT round(sum(2 * (1 - list_dot_product(c.v, lv.v))), 6) AS movement FROM c JOIN lv USING (cluster_id)",
     "ivf_reassign_diff": f"WITH {_V}, {_C}, {_LLOYD}, {_assign('z', 'v', 'lv')} SELECT vec_id, a.cluster_id AS old_cluster, z.cluster_id AS new_cluster FROM a JOIN z USING (vec_id) WHERE a.cluster_id <> z.cluster_id",
@@ -305,8 +327,8 @@ SELECT query_id, vec_id, round(s, 6) AS score FROM s WHERE query_id <> vec_id AN
 QUERIES = {
     f.__name__: f
     for f in (
-        topk_exact, topk_threshold, lookup_decision, lookup_decision_recall90, lookup_decision_exact, lookup_replay, ivf_bootstrap, ivf_assign, ivf_cluster_sizes, ivf_probe_topk, ivf_probe_topk_recall90,
-        two_tier_candidates, two_tier_candidates_recall90, ivf_recall,
+        topk_exact, topk_threshold, lookup_decision, lookup_decision_nprobe1, lookup_recall, lookup_decision_exact, lookup_replay, ivf_bootstrap, ivf_assign, ivf_cluster_sizes, ivf_probe_topk, ivf_probe_topk_nprobe1,
+        two_tier_candidates, two_tier_candidates_nprobe1, ivf_recall,
         ivf_capacity_overflow, kmeans_lloyd_step, kmeans_movement, ivf_reassign_diff, kmeanspp_step, kmeans_minibatch, recalibration_trigger, vector_health, semantic_near_dups, semantic_near_dups_all,
     )
 }
