@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: all white space of Unicode, with the four separator controls, as a class of regular expressions.
+WHITE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
@@ -14,7 +18,8 @@ def token_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space of Unicode at both ends."""
+    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
 
 
 def build_prompt(instruction: Column, context: Column, separator: str) -> Column:
@@ -43,22 +48,36 @@ def render(template: str, text: Column, placeholder: str = "{{PLACEHOLDER}}") ->
     return F.concat(F.lit(head), json_string(text), F.lit(tail))
 
 
-def json_path(path: str) -> str:
-    """Dotted path to a JSON path; whole-number segments index arrays. ValueError for blank segments."""
+def json_path(path: str | Sequence[str]) -> str:
+    """The JSON path of a list of segments, or of ones parted by commas: keys as they are, also with dots, or places in
+    arrays (whole numbers, in brackets or not). ValueError for blank segments and for keys with a quote."""
     out = "$"
-    for part in path.split("."):
+    for part in path.split(",") if isinstance(path, str) else path:
         if not part.strip():
             raise ValueError(f"blank segment in {path!r}")
-        out += f"[{part}]" if part.isdigit() else f".{part}"
+        if "'" in part:
+            raise ValueError(f"a quote in {part!r}")
+        place = part[1:-1] if part[:1] == "[" and part[-1:] == "]" else part
+        out += f"[{place}]" if place.isdigit() else f"['{part}']"
     return out
 
 
-def extract(body: Column, path: str = "prompt") -> Column:
+def extract(body: Column, path: str | Sequence[str] = "prompt") -> Column:
     """The string at ``path`` of a JSON body; null if it is missing or empty."""
     x = F.get_json_object(body, json_path(path))
     return F.when(x != "", x)
 
 
+def is_special(token: Column) -> Column:
+    """Whether a token of a vocabulary is a mark in brackets, not text."""
+    return token.startswith("[") & token.endswith("]")
+
+
+def surface(token: Column) -> Column:
+    """A token without the marks of continuation before it."""
+    return F.regexp_replace(token, "^#+", "")
+
+
 def client_key(forwarded: Column, remote: Column) -> Column:
     """First address of a forwarding header, else the host of host:port, else the address as it is."""
     first = F.trim(F.substring_index(forwarded, ",", 1))

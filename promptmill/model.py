@@ -13,6 +13,8 @@ PROMPT_BYTES = 1536
 PROMPT_TOKENS = 256
 EXACT_PAYLOAD_BYTES = 64 * 1024
 PAYLOAD_HEADER_BYTES = 12
+PAYLOAD_BYTES = (1 << 21) - 1
+BODY_BYTES = 1 << 20
 PENDING_MILLIS = 30_000
 NODE_STATES = ("DEAD", "PENDING", "READY")
 CACHE_STATES = ("UNSPECIFIED", "HIT", "MISS", "PENDING", "REJECTED")
@@ -69,3 +71,17 @@ class RingConfig:
             raise ValueError("size must be a power of 2")
         if not 0 <= self.start < self.size:
             raise ValueError("start must be below size")
+
+
+def core_list(text: str) -> list[int]:
+    """Whole numbers parted by commas, with white space around them; ValueError for others, negative ones and none."""
+    cores = [int(x.strip()) for x in text.split(",")]
+    if any(c < 0 for c in cores):
+        raise ValueError(f"negative core in {text!r}")
+    return cores
+
+
+def required(settings: dict[str, str | None], *names: str) -> None:
+    """ValueError if one of the settings is missing or empty."""
+    if missing := [n for n in names if not settings.get(n)]:
+        raise ValueError(f"settings are missing: {missing}")

@@ -1,8 +1,8 @@
 """Helpers that keep plans safe at size: staged tables, bounded broadcasts and hot-key salting.
 
 Nothing here uses localCheckpoint or a machine-local folder on a cluster: staged tables go below the folder
-that ``spark.checkpoint.dir`` names, which all executors share. Only where that setting is absent (unit tests,
-a laptop) a temporary folder is made.
+that ``spark.checkpoint.dir`` names, which all executors share. Only where that setting is absent and all tasks run in
+the driver's process (a local master: unit tests, a laptop) a temporary folder is made; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,13 +24,20 @@ BROADCAST_ROWS = 100_000
 
 _own_dirs: list[str] = []
 _shipped: set[str] = set()
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The shared folder for staged tables: ``spark.checkpoint.dir``, or a temporary one where that is unset.
+
+    RuntimeError without the setting if the executors are other processes, whose files the driver may not see.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _own_dirs:
         _own_dirs.append(tempfile.mkdtemp(prefix="promptmill-"))
         atexit.register(shutil.rmtree, _own_dirs[0], True)
@@ -38,15 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The files are removed when the driver ends. A staged table is computed once however often it is read.
+    The files are removed when the ``scratch`` block around it ends, else when the driver ends. A staged table is
+    computed once however often it is read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/promptmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end of the block: results must be written or collected in it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -144,9 +168,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, hot_rows: int = 200_000,
     right rows are broadcast, the rest is joined by shuffle (or by a broadcast, if Spark knows the table to be small).
     """
     counts = left.groupBy(key).count()
-    total = left.count()
-    if total <= hot_rows:
+    if fits(left, hot_rows):
         return left.join(right, key, "left")
+    total = left.count()
     hot = stage(counts.where(F.col("count") > max(hot_rows, total / most_hot)).where(F.col(key).isNotNull()).select(key), "hot")
     if hot.isEmpty():
         return left.join(right, key, "left")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tomllib
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,12 +46,27 @@ def parsed(df: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a file that holds one JSON array. ValueError if its top level isn't an array."""
-    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
-    start = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1)).where("value is not null").first()
-    if start is None or start[0] != "[":
+    """Rows of a file that holds one JSON array. ValueError if its top level isn't an array.
+
+    One value is one file to Spark, so it is parsed once, as text, and its elements are taken from there.
+    """
+    text = spark.read.text(path, wholetext=True)
+    if text.where(F.substring(strip(F.col("value")), 1, 1) != "[").limit(1).count():
         raise ValueError("top level must be an array")
-    return df
+    each = schema.simpleString() if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).simpleString()
+    return text.select(F.explode(F.from_json("value", f"array<{each}>", {"mode": "FAILFAST"})).alias("x")).select("x.*")
+
+
+def prompts(spark: SparkSession, *paths: str) -> DataFrame:
+    """(prompt): the prompts of the lines of all files; blank and malformed lines and ones without a prompt are left out."""
+    return prompts_of(lines(spark, *paths))
+
+
+def prompts_of(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """``df`` with the prompt of each line that is an object with one; a payload isn't asked for."""
+    v = F.try_parse_json(F.col(raw))
+    found = df.withColumn("prompt", F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.prompt", "string")))
+    return found.where(F.col("prompt").isNotNull() & (F.col("prompt") != ""))
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -59,7 +75,10 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFra
 
 
 def violation(raw: Column) -> Column:
-    """Why a line breaks the record schema {prompt, payload}; null for valid lines. Blank lines are BLANK, which isn't a violation."""
+    """Why a line breaks the record schema {prompt, payload}; null for valid lines. Blank lines are BLANK, which isn't a violation.
+
+    The prompt is judged, then the payload: first whether it is a string, then whether it has more than white space.
+    """
     v = F.try_parse_json(raw)
     kind = F.schema_of_variant(v)
     keys = F.json_object_keys(raw)
@@ -72,8 +91,10 @@ def violation(raw: Column) -> Column:
         .when(~kind.startswith("OBJECT"), "NOT_OBJECT")
         .when(F.size(F.array_except(want, keys)) > 0, "MISSING_KEYS")
         .when(F.size(F.array_except(keys, want)) > 0, "EXTRA_KEYS")
-        .when((kinds[0] != "STRING") | (kinds[1] != "STRING"), "NOT_STRING")
-        .when((strip(texts[0]) == "") | (strip(texts[1]) == ""), "WHITESPACE_ONLY")
+        .when(kinds[0] != "STRING", "NOT_STRING")
+        .when(strip(texts[0]) == "", "WHITESPACE_ONLY")
+        .when(kinds[1] != "STRING", "NOT_STRING")
+        .when(strip(texts[1]) == "", "WHITESPACE_ONLY")
     )
 
 
@@ -82,45 +103,55 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*RECORD.names).write.mode("overwrite").json(path)
 
 
+# What names in a manifest look like.
+REPO_ID, REVISION, LOCAL_NAME = r"[A-Za-z0-9][A-Za-z0-9_.-]*/[A-Za-z0-9][A-Za-z0-9_.-]*", r"[0-9a-fA-F]{40}", r"[A-Za-z0-9][A-Za-z0-9_-]*"
+
+
 def manifest_problem(repo_id: Column, revision: Column, file_path: Column, local_name: Column) -> Column:
     """The first field of a dataset manifest that isn't well formed, or null."""
-    return (
-        F.when(repo_id.isNull() | ~repo_id.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"), "repo_id")
-        .when(revision.isNull() | ~revision.rlike(r"^[0-9a-f]{40}$"), "revision")
-        .when(file_path.isNull() | (file_path == ""), "file_path")
-        .when(local_name.isNull() | ~local_name.rlike(r"^[A-Za-z0-9_-]+$"), "local_name")
-    )
+
+    def bad(x: Column, pattern: str) -> Column:
+        return x.isNull() | ~x.rlike(rf"\A(?:{pattern})\z")
+
+    return F.when(bad(repo_id, REPO_ID), "repo_id").when(bad(revision, REVISION), "revision").when(file_path.isNull() | (strip(file_path) == ""), "file_path").when(bad(local_name, LOCAL_NAME), "local_name")
 
 
 def load_manifest(path: str) -> dict[str, str]:
-    """A manifest file with exactly its four keys; ValueError otherwise."""
-    got = json.loads(Path(path).read_text())
-    want = {"repo_id", "revision", "file_path", "local_name"}
-    if not isinstance(got, dict) or set(got) != want or not all(isinstance(x, str) for x in got.values()):
-        raise ValueError(f"a manifest has the text keys {sorted(want)}")
-    return got
+    """The four keys of a manifest in TOML (or JSON, by the file's name); further keys are ignored.
+
+    ValueError if one is missing or not well formed.
+    """
+    with open(path, "rb") as f:
+        got = json.load(f) if path.endswith(".json") else tomllib.load(f)
+    want = ("repo_id", "revision", "file_path", "local_name")
+    if not isinstance(got, dict) or (missing := [k for k in want if k not in got]):
+        raise ValueError(f"a manifest has the keys {list(want)}; missing: {missing if isinstance(got, dict) else list(want)}")
+    for key, pattern in zip(want, (REPO_ID, REVISION, r"[\s\S]*\S[\s\S]*", LOCAL_NAME), strict=True):
+        if not isinstance(got[key], str) or not re.fullmatch(pattern, got[key]):
+            raise ValueError(f"not a valid {key}: {got[key]!r}")
+    return {k: got[k] for k in want}
 
 
 def newline_records(df: DataFrame, instruction: str, context: str, output: str, most_tokens: int = 256, overlimit: str = "flag") -> DataFrame:
     """Adds prompt, payload, tag and kept: instruction and context joined by a newline.
 
-    Tags: EMPTY_OUTPUT and EMPTY_PROMPT are dropped, OVER_LIMIT is kept (or dropped with ``overlimit="drop"``).
+    Tags: EMPTY_OUTPUT and EMPTY_PROMPT are dropped, OVER_LIMIT is kept (or dropped with ``overlimit="drop"``). The
+    payload stays as it is, white space included; a null one counts as empty.
     """
     prompt = build_prompt(F.col(instruction), F.col(context), "\n")
-    payload = F.coalesce(strip(F.col(output)), F.lit(""))
-    out = df.withColumns({"prompt": prompt, "payload": payload})
-    tag = F.when(F.col("payload") == "", "EMPTY_OUTPUT").when(F.col("prompt") == "", "EMPTY_PROMPT").when(token_count(F.col("prompt")) > most_tokens, "OVER_LIMIT")
+    out = df.withColumns({"prompt": prompt, "payload": F.coalesce(F.col(output), F.lit(""))})
+    tag = F.when(strip(F.col("payload")) == "", "EMPTY_OUTPUT").when(F.col("prompt") == "", "EMPTY_PROMPT").when(token_count(F.col("prompt")) > most_tokens, "OVER_LIMIT")
     return _kept(out.withColumn("tag", tag), overlimit)
 
 
 def space_records(df: DataFrame, instruction: str, context: str, output: str, most_tokens: int = 256, overlimit: str = "flag") -> DataFrame:
     """Adds prompt, payload, tag and kept: instruction and context joined by a space, without the context if only the
-    instruction is within the limit (tag CONTEXT_DROPPED)."""
+    instruction is within the limit and isn't empty (tag CONTEXT_DROPPED). The payload stays as it is."""
     full = build_prompt(F.col(instruction), F.col(context), " ")
     alone = F.coalesce(strip(F.col(instruction)), F.lit(""))
-    out = df.withColumns({"full": full, "alone": alone, "payload": F.coalesce(strip(F.col(output)), F.lit(""))})
-    fits, alone_fits = token_count(F.col("full")) <= most_tokens, token_count(F.col("alone")) <= most_tokens
-    tag = F.when(F.col("payload") == "", "EMPTY_OUTPUT").when(fits, None).when(alone_fits, "CONTEXT_DROPPED").otherwise("OVER_LIMIT")
+    out = df.withColumns({"full": full, "alone": alone, "payload": F.coalesce(F.col(output), F.lit(""))})
+    fits, alone_fits = token_count(F.col("full")) <= most_tokens, (F.col("alone") != "") & (token_count(F.col("alone")) <= most_tokens)
+    tag = F.when(strip(F.col("payload")) == "", "EMPTY_OUTPUT").when(fits, None).when(alone_fits, "CONTEXT_DROPPED").otherwise("OVER_LIMIT")
     out = out.withColumn("tag", tag).withColumn("prompt", F.when(F.col("tag") == "CONTEXT_DROPPED", F.col("alone")).otherwise(F.col("full")))
     return _kept(out.drop("full", "alone"), overlimit)
 

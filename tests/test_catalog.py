@@ -31,8 +31,12 @@ def test_runs(spark, name):
 
 
 def test_index_recall(spark):
-    got = {r["nprobe"]: r["recall"] for r in catalog.QUERIES["ivf_recall"](spark, DATA).collect()}
-    assert got[16] == 1.0 and got[12] >= 0.9
+    got = {r["sixths"]: r["recall"] for r in catalog.QUERIES["ivf_recall"](spark, DATA).collect()}
+    assert got[5] >= 0.9 > got[0]
+    hits = {r["search"]: r["recall"] for r in catalog.QUERIES["lookup_recall"](spark, DATA).collect()}
+    assert hits["lookup_decision"] >= 0.9 > hits["nprobe1"]
+    exact = catalog.QUERIES["lookup_decision_exact"](spark, DATA)
+    assert exact.where("decision = 'HIT'").count() > 0
 
 
 def test_entry(spark):

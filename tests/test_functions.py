@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from promptmill.functions import bits, text
-from promptmill.model import IndexConfig, RingConfig
+from promptmill.model import IndexConfig, RingConfig, core_list, required
+from promptmill.operators import front
 from promptmill.operators.admission import Window
 
 
@@ -39,17 +40,49 @@ def test_render_first_placeholder_only_and_escapes(spark):
 
 
 def test_json_path():
-    assert text.json_path("a.1.b") == "$.a[1].b"
-    with pytest.raises(ValueError):
-        text.json_path("a..b")
+    assert text.json_path("a,1,b") == text.json_path(["a", "[1]", "b"]) == "$['a'][1]['b']"
+    for bad in ("a,,b", ["a", " "], "it's"):
+        with pytest.raises(ValueError):
+            text.json_path(bad)
 
 
 def test_extract(spark):
-    assert one(spark, text.extract(F.col("b"), "m.0.t"), b='{"m": [{"t": "x"}]}') == "x"
+    assert one(spark, text.extract(F.col("b"), "m,0,t"), b='{"m": [{"t": "x"}]}') == "x"
+    assert one(spark, text.extract(F.col("b"), ["a.b", "c d"]), b='{"a.b": {"c d": "x"}}') == "x"
     assert one(spark, text.extract(F.col("b")), b='{"prompt": ""}') is None
     assert one(spark, text.extract(F.col("b")), b="broken") is None
 
 
+def test_strip_knows_all_white_space(spark):
+    white = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+    assert one(spark, text.strip(F.col("s")), s=white + "a" + white + "b" + white) == "a" + white + "b"
+    assert one(spark, text.strip(F.col("s")), s=white) == ""
+    assert one(spark, text.strip(F.col("s")), s="\u200bx") == "\u200bx"
+
+
+def test_tokens_of_a_vocabulary(spark):
+    for token, special, surface in (("[CLS]", True, "[CLS]"), ("##ing", False, "ing"), ("#", False, ""), ("[a", False, "[a")):
+        assert one(spark, text.is_special(F.col("t")), t=token) is special and one(spark, text.surface(F.col("t")), t=token) == surface
+
+
+def test_settings():
+    assert core_list("0, 2,5 ") == [0, 2, 5]
+    for bad in ("", "1,,2", "a", "-1"):
+        with pytest.raises(ValueError):
+            core_list(bad)
+    required({"key": "x"}, "key")
+    with pytest.raises(ValueError):
+        required({"key": ""}, "key")
+
+
+def test_front(spark):
+    body = '{"prompt": "x"}'
+    for method, b, want in (("POST", body, 200), ("GET", body, 405), (None, body, 405), ("POST", None, 400), ("POST", "{}", 400), ("POST", body + " " * (1 << 20), 400)):
+        assert one(spark, front.status(F.col("m"), F.col("b")), m=method, b=b) == want
+    for status, cached, only, want in ((405, True, None, "ERROR"), (200, True, "true", "CACHE"), (200, False, "true", "NOT_FOUND"), (200, False, "1", "UPSTREAM"), (200, None, None, "UPSTREAM")):
+        assert one(spark, front.answer(F.lit(status), F.lit(cached).cast("boolean"), F.col("o")), o=only) == want
+
+
 @pytest.mark.parametrize(("i", "c", "out"), [(" a ", " b ", "a\nb"), ("a", " ", "a"), (None, "b", "\nb"), (None, None, "")])
 def test_build_prompt(spark, i, c, out):
     assert one(spark, text.build_prompt(F.col("i"), F.col("c"), "\n"), i=i, c=c) == out
