@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, life, search, traffic
+from . import corpus, landing, life, search, traffic
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | traffic.QUERIES | life.QUERIES | corpus.QUERIES
-ORACLES: dict[str, str] = search.ORACLES | traffic.ORACLES | life.ORACLES | corpus.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | traffic.QUERIES | life.QUERIES | corpus.QUERIES | landing.QUERIES
+ORACLES: dict[str, str] = search.ORACLES | traffic.ORACLES | life.ORACLES | corpus.ORACLES | landing.ORACLES

@@ -53,11 +53,16 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/promptmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the ``scratch`` block or else the driver ends."""
     if _scopes:
         _scopes[-1].append(path)
     else:
         atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

@@ -29,13 +29,18 @@ def line_count(spark: SparkSession, *paths: str) -> int:
     return lines(spark, *paths).count()
 
 
+def is_object(raw: Column) -> Column:
+    """Whether a line is a whole JSON object."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.lit(False))
+
+
 def parsed(df: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
     """``df`` with prompt and payload of each usable line; further keys are ignored.
 
     A line is usable if it is an object in which both are non-empty. Others are left out, or, if ``strict``, the first
     of them that a task meets fails the job.
     """
-    usable = F.col("prompt").isNotNull() & (F.col("prompt") != "") & F.col("payload").isNotNull() & (F.col("payload") != "")
+    usable = is_object(F.col(raw)) & F.col("prompt").isNotNull() & (F.col("prompt") != "") & F.col("payload").isNotNull() & (F.col("payload") != "")
     short = F.octet_length(F.col(raw)) <= MOST_LINE_BYTES
     text = F.when(short, F.col(raw))
     out = df.withColumns({"prompt": F.get_json_object(text, "$.prompt"), "payload": F.get_json_object(text, "$.payload")})
@@ -64,14 +69,14 @@ def prompts(spark: SparkSession, *paths: str) -> DataFrame:
 
 def prompts_of(df: DataFrame, raw: str = "raw") -> DataFrame:
     """``df`` with the prompt of each line that is an object with one; a payload isn't asked for."""
-    v = F.try_parse_json(F.col(raw))
-    found = df.withColumn("prompt", F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.prompt", "string")))
+    found = df.where(is_object(F.col(raw))).withColumn("prompt", F.try_variant_get(F.try_parse_json(F.col(raw)), "$.prompt", "string"))
     return found.where(F.col("prompt").isNotNull() & (F.col("prompt") != ""))
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a JSONL file; blank and malformed lines are left out."""
-    return spark.read.option("mode", "DROPMALFORMED").schema(schema).json(path)
+    """Rows of a JSONL file; blank and malformed lines are left out, fields of another type are null."""
+    whole = lines(spark, path).where(is_object(F.col("raw")))
+    return whole.select(F.from_json("raw", schema).alias("x")).select("x.*")
 
 
 def violation(raw: Column) -> Column:
