@@ -15,10 +15,18 @@ def placement(payloads: DataFrame, row_id: str, n_bytes: str, header: int = PAYL
     run = running(sized, [], row_id, F.col(n_bytes) + header, "ends", width)
     return run.select(row_id, n_bytes, (F.col("ends") - F.col(n_bytes) - header).alias("voffset"))
 
+def fifo(rows: DataFrame, order: str, capacity: int, width: int = 50_000) -> DataFrame:
+    """``rows`` with ``place`` (from 1, by the unique ``order``) and ``admitted``: whether a queue of ``capacity`` that nothing
+    has left yet takes the row. A full queue refuses; what is taken out goes in order of place. Rows without an order go."""
+    run = running(rows.where(F.col(order).isNotNull()), [], order, F.lit(1), "place", width)
+    return run.withColumn("admitted", F.col("place") <= capacity)
+
+
 def clock(entries: DataFrame, ring: str, order: str, capacity: int) -> DataFrame:
     """(ring, order, fate): second-chance eviction of each ring down to ``capacity`` bytes, oldest first.
 
-    ``entries`` has (ring, order, n_bytes, state, hot). Dead entries are RECLAIMED, pending ones SKIPPED, cold ready
+    ``entries`` has (ring, order, n_bytes, state, hot). Entries of state ORPHAN (their node is gone or points elsewhere, as
+    a payload that was moved leaves behind) and dead ones are RECLAIMED, pending ones SKIPPED, cold ready
     ones EVICTED; hot ones are MOVED to the head as cold while room is short, and may be EVICTED on the next turn.
     Whatever is left is KEPT. A ring is sequential by nature: rings are the unit of distribution, and a ring's
     queue lives in its task, so rings are to be cut to bounded size (``clock_evict`` takes their number, by a hash).
@@ -35,7 +43,7 @@ def clock(entries: DataFrame, ring: str, order: str, capacity: int) -> DataFrame
             for i, n, state, hot in queue:
                 if used <= capacity:
                     break
-                if state == "DEAD":
+                if state in ("DEAD", "ORPHAN"):
                     fate[i] = "RECLAIMED"
                     used -= n
                 elif state == "PENDING":

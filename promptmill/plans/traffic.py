@@ -74,11 +74,11 @@ def idle_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lfu_victim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of five sampled clients of each shard (by hash) the one with the fewest requests."""
+    """Of five sampled clients of each shard (by hash) the one with the fewest requests, of equals the one sampled first."""
     c = _clients(spark, sf_dir).withColumn("shard", bits.shard(bits.fnv1a(F.col("client_ip"))))
     w = Window.partitionBy("shard").orderBy(F.md5("client_ip"))
     few = c.withColumn("r", F.row_number().over(w)).where("r <= 5")
-    return few.groupBy("shard").agg(F.min(F.struct("n", "client_ip")).alias("x")).select("shard", F.col("x.client_ip"), F.col("x.n"))
+    return few.groupBy("shard").agg(F.min(F.struct("n", "r", "client_ip")).alias("x")).select("shard", F.col("x.client_ip"), F.col("x.n"))
 
 
 def client_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +153,12 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _commits(spark, sf_dir).where("n_bytes is not null")
 
 
+def flat_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in order of their first commit by id: the first 1000 wait in the flat tier for compaction, oldest first."""
+    first = _commits(spark, sf_dir).groupBy("node_id").agg(F.min("set_id").alias("set_id"))
+    return lifecycle.fifo(first, "set_id", 1000).select("node_id", "place", "admitted")
+
+
 def ring_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "set_requests").where("uncached_payload is not null").select("set_id", "upstream", F.octet_length("uncached_payload").alias("n_bytes")).distinct()
     return s.groupBy("upstream").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_bytes") + PAYLOAD_HEADER_BYTES).alias("bytes"))
@@ -242,13 +248,14 @@ CASE WHEN prompt IS NULL OR prompt = '' THEN 'EMPTY' WHEN strlen(prompt) > 400 T
     "admission_requests": f"WITH RECURSIVE {_limiter('SELECT DISTINCT request_id, client_ip, (epoch_us(ts) // 1000) AS tm FROM check_requests', 'client_ip', 'request_id', 3_600_000, 30)} SELECT k AS client_ip, count(*) AS n, count(*) FILTER (NOT ok) AS denied FROM w GROUP BY 1",
     "admission_shards": f"WITH {_K} SELECT client_ip, {_FNV} AS hash, ({_FNV} & 255)::INT AS shard FROM k",
     "idle_clients": f"WITH {_K} SELECT client_ip, (SELECT max(last) FROM k) - last AS idle_ms FROM k WHERE (SELECT max(last) FROM k) - last > {DAY}",
-    "lfu_victim": f"WITH {_K}, s AS (SELECT client_ip, n, ({_FNV} & 255)::INT AS shard, row_number() OVER (PARTITION BY {_FNV} & 255 ORDER BY md5(client_ip)) AS r FROM k) SELECT shard, min_by(client_ip, (n, client_ip)) AS client_ip, min(n) AS n FROM s WHERE r <= 5 GROUP BY shard",
+    "lfu_victim": f"WITH {_K}, s AS (SELECT client_ip, n, ({_FNV} & 255)::INT AS shard, row_number() OVER (PARTITION BY {_FNV} & 255 ORDER BY md5(client_ip)) AS r FROM k) SELECT shard, min_by(client_ip, (n, r)) AS client_ip, min(n) AS n FROM s WHERE r <= 5 GROUP BY shard",
     "client_key": f"WITH {_K} SELECT client_ip, client_ip AS forwarded, client_ip AS remote, client_ip AS raw FROM k",
     "coalesced": f"WITH {_C}, {_P}, {_F} SELECT DISTINCT r.request_id, r.node_id, p.pioneer_id, coalesce(epoch_ms(r.ts) >= p.missed_at AND (f.set_at IS NULL OR epoch_ms(r.ts) <= f.set_at), false) AS in_flight FROM check_requests r LEFT JOIN p USING (node_id) LEFT JOIN f USING (node_id) WHERE r.check_state = 'PENDING' AND r.node_id IS NOT NULL",
     "coalesce_savings": "SELECT count(*) AS requests, count(DISTINCT node_id) AS calls, count(*) - count(DISTINCT node_id) AS saved FROM (SELECT DISTINCT request_id, check_state, node_id FROM check_requests WHERE node_id IS NOT NULL AND check_state IN ('MISS', 'PENDING'))",
     "commit_ready": f"WITH {_C}, o AS (SELECT *, coalesce(success, false) AND coalesce(n_bytes, 0) > 0 AS ok FROM c) SELECT set_id, node_id, CASE WHEN NOT ok THEN 'FAILED' WHEN row_number() OVER (PARTITION BY node_id, ok ORDER BY tm, set_id) = 1 THEN 'READY' ELSE 'STALE' END AS outcome FROM o",
     "pending_sweep": f"WITH {_C}, {_P}, {_F} SELECT node_id, set_at - missed_at AS waited_ms, set_at IS NULL OR set_at - missed_at > {PENDING_MILLIS} AS expired FROM p LEFT JOIN f USING (node_id)",
     "clock_one_pass": f"WITH {_C}, {_E} SELECT node_id, CASE WHEN hot THEN 'MOVED' ELSE 'EVICTED' END AS fate FROM e",
+    "flat_tier": f"WITH {_C}, g AS (SELECT node_id, min(set_id) AS set_id FROM c GROUP BY 1) SELECT node_id, row_number() OVER (ORDER BY set_id) AS place, row_number() OVER (ORDER BY set_id) <= 1000 AS admitted FROM g",
     "ring_occupancy": "SELECT upstream, count(*) AS n, sum(b + 12)::BIGINT AS bytes FROM (SELECT DISTINCT set_id, upstream, strlen(uncached_payload) AS b FROM set_requests WHERE uncached_payload IS NOT NULL) GROUP BY 1",
     "payload_placement": f"""WITH {_C}, o AS (SELECT set_id, n_bytes, (sum(n_bytes + 12) OVER (ORDER BY set_id) - n_bytes - 12)::BIGINT AS voffset FROM c WHERE n_bytes IS NOT NULL)
 SELECT set_id, voffset, voffset & {RING - 1} AS ring_at, least(n_bytes, {RING} - ((voffset + 12) & {RING - 1})) AS first_chunk FROM o""",
@@ -266,6 +273,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_cache_lookup, exact_cache_put, exact_cache_put_full, exact_cache_hits, prompt_gate, admission_sliding, admission_requests, admission_shards, idle_clients, lfu_victim, client_key, coalesced, coalesce_savings,
-        commit_ready, pending_sweep, clock_one_pass, clock_evict, ring_occupancy, payload_placement, payload_orphans, control_block_pack, control_block_unpack, hazard_overlap, shed_breaker, traffic_windows,
+        commit_ready, pending_sweep, clock_one_pass, clock_evict, flat_tier, ring_occupancy, payload_placement, payload_orphans, control_block_pack, control_block_unpack, hazard_overlap, shed_breaker, traffic_windows,
     )
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .model import PENDING_MILLIS, PROMPT_BYTES, PROMPT_TOKENS, THRESHOLD, TOP_K
 from .operators import cache, encode, vectors
-from .scale import ship, stage
+from .scale import lookup, ship, stage
 
 NODES = "node_id bigint, hash string, v array<double>, state string, version int, payload string, created_ms bigint"
 
@@ -46,7 +46,7 @@ class SemanticCache:
         r = stage(r.withColumns({"hash": cache.digest(F.col("prompt")), "gate": cache.gate(F.col("prompt"), PROMPT_BYTES, PROMPT_TOKENS)}), "requests")
         nodes = self.nodes()
         exact = nodes.where("state = 'READY'").groupBy("hash").agg(F.min(F.struct("node_id", "payload")).alias("e"))
-        r = stage(r.join(exact, "hash", "left"), "exact")
+        r = stage(lookup(r, exact, "hash"), "exact")
         asked = r.where("e is null and gate = 'PASS'")
         firsts = asked.groupBy("hash").agg(F.min(F.struct("request_id", "prompt")).alias("f")).select(F.col("f.request_id").alias("q"), F.col("f.prompt").alias("prompt"), "hash")
         queries = stage(encode.encode(firsts, "q", "prompt", self.encoder).withColumnRenamed("vec_id", "query_id"), "queries")
@@ -60,7 +60,7 @@ class SemanticCache:
         near = stage(near.withColumn("new_id", F.when(F.col("b").isNull() & F.col("v").isNotNull(), F.col("q") + base)), "near")
         fresh = near.where("new_id is not null").select(F.col("new_id").alias("node_id"), "hash", "v", F.lit("PENDING").alias("state"), F.lit(1).alias("version"), F.lit(None).cast("string").alias("payload"), F.lit(now_ms).cast("bigint").alias("created_ms"))
         self._publish(nodes.unionByName(fresh))
-        got = r.join(near.drop("v"), "hash", "left")
+        got = lookup(r, near.drop("v"), "hash")
         hit = F.col("e").isNotNull()
         pioneer = F.col("request_id") == F.col("q")
         state = (
