@@ -90,12 +90,44 @@ def test_preprocess_tags(spark):
     assert [(r["tag"], r["prompt"]) for r in got][4] == ("CONTEXT_DROPPED", "a") and got[0]["prompt"] == "a b"
 
 
-def test_manifest(spark, tmp_path):
-    (tmp_path / "m.json").write_text('{"repo_id": "a/b", "revision": "0", "file_path": "x", "local_name": "n"}')
-    assert records.load_manifest(str(tmp_path / "m.json"))["repo_id"] == "a/b"
-    (tmp_path / "m.json").write_text('{"repo_id": "a/b"}')
+def test_manifest(tmp_path):
+    good = {"repo_id": "Own.er/data-set", "revision": "0123456789abcdefABCDEF0123456789abcdef01", "file_path": "x y", "local_name": "n_1"}
+
+    def load(fields, name="m.toml"):
+        (tmp_path / name).write_text("\n".join(f'{k} = "{v}"' for k, v in fields.items()))
+        return records.load_manifest(str(tmp_path / name))
+
+    assert load(good) == load(good | {"more": "ignored"}) == good
+    for key, value in (("repo_id", ".a/b"), ("repo_id", "a/-b"), ("repo_id", "a/b/c"), ("revision", "main"), ("revision", "0" * 39), ("file_path", " "), ("local_name", "-a"), ("local_name", "a.b")):
+        with pytest.raises(ValueError):
+            load(good | {key: value})
     with pytest.raises(ValueError):
-        records.load_manifest(str(tmp_path / "m.json"))
+        load({"repo_id": "a/b"})
+
+
+def test_each_branch_of_validation(spark):
+    rows = [
+        ("", "BLANK"), ("\u3000\u00a0", "BLANK"), (None, None), ("{", "INVALID_JSON"), ("[1]", "NOT_OBJECT"), ('"x"', "NOT_OBJECT"), ('{"prompt": "a"}', "MISSING_KEYS"), ('{"prompt": 1, "x": 2}', "MISSING_KEYS"),
+        ('{"prompt": "a", "payload": "b", "x": 1}', "EXTRA_KEYS"), ('{"prompt": 1, "payload": "b"}', "NOT_STRING"), ('{"prompt": " ", "payload": 1}', "WHITESPACE_ONLY"), ('{"prompt": "a", "payload": null}', "NOT_STRING"),
+        ('{"prompt": "\\u3000", "payload": "b"}', "WHITESPACE_ONLY"), ('{"prompt": "a", "payload": "\u2003\u2028"}', "WHITESPACE_ONLY"), ('{"prompt": "a", "payload": "b"}', None),
+    ]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, raw string")
+    got = {r["i"]: r["v"] for r in df.select("i", records.violation(F.col("raw")).alias("v")).collect()}
+    assert {i: v for i, (r, v) in enumerate(rows) if r is not None} == {i: v for i, v in got.items() if rows[i][0] is not None}
+
+
+def test_preprocessing_keeps_payloads_and_empty_instructions(spark):
+    df = spark.createDataFrame([(1, " a ", "\u3000", " x\n"), (2, "", "w " * 30, "y"), (3, "b", "w " * 30, "y"), (4, "b", "c", "\u00a0"), (5, None, None, None), (6, "", " ", "y")], "i int, q string, c string, r string")
+    got = {r["i"]: (r["prompt"], r["payload"], r["tag"], r["kept"]) for r in records.PLUGINS["space"](df, "q", "c", "r", 10).collect()}
+    assert got[1] == ("a", " x\n", None, True) and got[3] == ("b", "y", "CONTEXT_DROPPED", True) and got[4][2:] == got[5][2:] == ("EMPTY_OUTPUT", False) and got[6] == ("", "y", None, True)
+    assert got[2][2:] == ("OVER_LIMIT", True) and got[2][0].endswith(" w")
+    got = {r["i"]: (r["prompt"], r["payload"], r["tag"], r["kept"]) for r in records.PLUGINS["newline"](df, "q", "c", "r", 10).collect()}
+    assert got[1] == ("a", " x\n", None, True) and got[6] == ("", "y", "EMPTY_PROMPT", False) and got[4][2] == "EMPTY_OUTPUT"
+
+
+def test_prompts_need_no_payload(spark):
+    df = spark.createDataFrame([('{"prompt": "a"}',), ('{"prompt": "", "payload": "b"}',), ("",), ("broken",), (None,), ('["prompt"]',), ('{"payload": "b"}',)], "raw string")
+    assert [r["prompt"] for r in records.prompts_of(df).collect()] == ["a"]
 
 
 def test_service_life(spark, tmp_path):
