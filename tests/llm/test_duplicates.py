@@ -127,7 +127,7 @@ def test_hot_signatures_are_salted_without_loss(spark):
     rows = [(i, " ".join(f"c{(i + k) % 45}" for k in range(40)), "") for i in range(45)]
     df = spark.createDataFrame(rows, "id bigint, p string, a string")
     bounds = N.Bounds(0.8)
-    frequent = {h: 1000 for h in N._hashes({f"c{k}" for k in range(45)})}
+    frequent = {h: 1000 for h in N.Hashes().of(" ".join(f"c{k}" for k in range(45))).tolist()}
     sets = N._prefixes(df, frequent, 30, bounds).drop("same")
     a, b = (set(map(tuple, N._candidates(sets, bounds, 0, hot_rows=h).collect())) for h in (3, 10**6))
     assert a == b and brute(rows) <= a
@@ -181,8 +181,10 @@ def test_very_many_words(spark):
     assert [tuple(r) for r in N.similar_pairs(df, "rid", ("p", "a")).collect()] == [(1, 2)]
 
 
-def test_hub_with_many_copies(spark):
+@pytest.mark.parametrize("many", [1000, 5])
+def test_hub_with_many_copies(spark, monkeypatch, many):
     """One set has a third of the rows and is near to many others."""
+    monkeypatch.setattr(N, "MANY_COPIES", many)
     hub = [f"h{k}" for k in range(40)]
     rows = [(i, " ".join(hub), None) for i in range(60)] + [(100 + i, " ".join([*hub[1:], f"x{i}"]), None) for i in range(120)]
     df = spark.createDataFrame(rows, "rid bigint, p string, a string")
