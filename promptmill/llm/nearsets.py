@@ -29,6 +29,7 @@ from ..scale import fits, join_bounded, lookup, parallel, salted_pairs, ship, st
 WORDS = re.compile(r"[^\W_]+")
 #: Words counted as frequent are at most this many: they get an exact place in the order; rarer ones are ordered by hash.
 FREQUENT = 50_000
+_ASCII_WORDS = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))  # lower case, or a space
 SALTS = 32
 #: Copies of one set up to which plain joins expand the pairs; beyond, the joins are salted. The rows are the same.
 MANY_COPIES = 1000
@@ -38,18 +39,19 @@ MATCH_COST = 0.006
 
 
 class Hashes(dict):
-    """Signed 64-bit hashes of words, remembered."""
+    """Signed 64-bit hashes of words, as text or in UTF-8, remembered."""
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+    def __missing__(self, word: str | bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "replace"))
         h = self[word] = h - (1 << 64) if h >> 63 else h
         return h
 
-    def of(self, *texts: str | None) -> np.ndarray:
-        """The hashes of the different words of the texts, in order."""
+    def of(self, text: str) -> np.ndarray:
+        """The hashes of the different words of a text, in order."""
         if len(self) > 500_000:
             self.clear()
-        return np.unique(np.fromiter(map(self.__getitem__, WORDS.findall(" ".join(t for t in texts if t).lower())), np.int64))
+        words = text.encode().translate(_ASCII_WORDS).split() if text.isascii() else WORDS.findall(text.lower())
+        return np.array(sorted(map(self.__getitem__, set(words))), np.int64)
 
 
 class Bounds:
@@ -93,8 +95,8 @@ def _statistics(rows: DataFrame, least_words: int) -> dict[int, int]:
         words: Counter = Counter()
         hashes = Hashes()
         for b in batches:
-            for p, a in zip(b["p"], b["a"], strict=True):
-                if len(s := hashes.of(p, a)) >= least_words:
+            for t in b["t"]:
+                if len(s := hashes.of(t)) >= least_words:
                     words.update(s.tolist())
             if len(words) > 400_000:
                 yield pd.DataFrame({"k": list(words), "n": list(words.values())})
@@ -156,17 +158,18 @@ def _prefixes(rows: DataFrame, frequent: dict[int, int], least_words: int, bound
         known = np.concatenate([np.sort(np.fromiter(often, np.int64)), nothing])
         for b in batches:
             out = []
-            for i, p, a in zip(b["id"], b["p"], b["a"], strict=True):
-                hs = hashes.of(p, a)
+            for i, t in zip(b["id"], b["t"], strict=True):
+                hs = hashes.of(t)
                 n = len(hs)
                 if n < least_words:
                     continue
                 is_rare = known[np.searchsorted(known, hs)] != hs
                 need = bounds.missing_probe(n) + 2
                 rare = hs[is_rare]
-                first = rare[:need].tolist()
+                first = rare[:need]
                 if len(first) < need:
-                    first += sorted(hs[~is_rare].tolist(), key=lambda h: (often[h], h))[: need - len(first)]
+                    more = sorted(hs[~is_rare].tolist(), key=lambda h: (often[h], h))[: need - len(first)]
+                    first = np.concatenate([first, np.array(more, np.int64)])
                 bits = int(np.bitwise_xor.reduce(np.left_shift(np.uint64(1), hs.view(np.uint64) & np.uint64(63))))
                 out.append((i, n, xxhash.xxh3_128_digest(hs), bits - (1 << 64) if bits >> 63 else bits, len(rare), first))
             yield pd.DataFrame(out, columns=["id", "n", "same", "bits", "rare", "prefix"])
@@ -215,15 +218,15 @@ def _candidates(reps: DataFrame, bounds: Bounds, light: int, hot_rows: int = 20_
     return a.join(b, keys).where(ok).select(F.least("id_a", "id_b").alias("lo"), F.greatest("id_a", "id_b").alias("hi")).distinct()
 
 
-def _words_column(p: str, a: str) -> Column:
-    text = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", p, a)), r"[^\p{L}\p{N}]+", " "))
+def _words_column(text: str) -> Column:
+    text = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
     return F.array_distinct(F.split(text, " "))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, bounds: Bounds) -> DataFrame:
     """The pairs whose words, read again, reach the similarity."""
     ids = stage(pairs.select(F.col("lo").alias("id")).union(pairs.select("hi")).distinct(), "ids")
-    texts = join_bounded(rows, ids, "id", "left_semi").select("id", _words_column("p", "a").alias("w")).dropDuplicates(["id"])
+    texts = join_bounded(rows, ids, "id", "left_semi").select("id", _words_column("t").alias("w")).dropDuplicates(["id"])
     texts = stage(texts, "words")
     a, b = texts.select(F.col("id").alias("lo"), F.col("w").alias("wa")), texts.select(F.col("id").alias("hi"), F.col("w").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
@@ -235,16 +238,15 @@ def linked(records: DataFrame, row_id: str, texts: tuple[str, ...], similarity:
 
     A pair of ids counts if their representatives are a pair, or are one. Rows with fewer than ``least_words``
     distinct words (so also null and empty texts) and rows without an id take no part; repeats of an id count once.
-    ``texts`` names one or two columns; ``light`` overrides the boundary that is chosen by cost.
+    ``texts`` names the columns; ``light`` overrides the boundary that is chosen by cost.
     """
     spark = records.sparkSession
     ship(spark)
     bounds = Bounds(similarity)
-    second = F.col(texts[1]) if len(texts) > 1 else F.lit(None).cast("string")
-    rows = records.select(F.col(row_id).cast("bigint").alias("id"), F.col(texts[0]).alias("p"), second.alias("a")).where("id is not null")
-    rows = rows.where(F.char_length(F.concat_ws(" ", "p", "a")) >= 2 * least_words - 1)  # fewer characters can't hold so many words
+    rows = records.select(F.col(row_id).cast("bigint").alias("id"), F.concat_ws(" ", *texts).alias("t")).where("id is not null")
+    rows = rows.where(F.char_length("t") >= 2 * least_words - 1)  # fewer characters can't hold so many words
     spread = parallel(rows)
-    frequent = _statistics(spread.select("p", "a"), least_words)
+    frequent = _statistics(spread.select("t"), least_words)
     sets = stage(_prefixes(spread, frequent, least_words, bounds), "sets")
     shared = sets.groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("same", "rep")
     shared = stage(shared, "shared")

@@ -128,7 +128,7 @@ def test_hot_signatures_are_salted_without_loss(spark):
     df = spark.createDataFrame(rows, "id bigint, p string, a string")
     bounds = N.Bounds(0.8)
     frequent = {h: 1000 for h in N.Hashes().of(" ".join(f"c{k}" for k in range(45))).tolist()}
-    sets = N._prefixes(df, frequent, 30, bounds).drop("same")
+    sets = N._prefixes(df.withColumnRenamed("p", "t"), frequent, 30, bounds).drop("same")
     a, b = (set(map(tuple, N._candidates(sets, bounds, 0, hot_rows=h).collect())) for h in (3, 10**6))
     assert a == b and brute(rows) <= a
 
@@ -163,9 +163,9 @@ def test_both_sides_carry_pairs(spark):
     rows = short + [(10_000 + i, f"{p} {' '.join(f'z{i % 50}y{k}' for k in range(30))}", a) for i, p, a in dict.fromkeys(long)]
     df = spark.createDataFrame(rows, "rid bigint, p string, a string")
     least = 5
-    frequent = N._statistics(df.select("p", "a"), least)
+    frequent = N._statistics(df.selectExpr("concat_ws(' ', p, a) t"), least)
     bounds = N.Bounds(0.8)
-    sets = N._prefixes(df.withColumnRenamed("rid", "id"), frequent, least, bounds)
+    sets = N._prefixes(df.selectExpr("rid id", "concat_ws(' ', p, a) t"), frequent, least, bounds)
     light = N.boundary(N._expected(sets.dropDuplicates(["same"]), bounds), bounds)
     assert 9 <= light < 40
     got = {tuple(r) for r in N.similar_pairs(df, "rid", ("p", "a"), least_words=least).collect()}
