@@ -47,17 +47,17 @@ COURTESIES = (
 TEMPLATES = {
     "en": (
         "i we me us my our", "not can't cannot won't couldn't wouldn't unable don't no isn't aren't never outside beyond against", "can can't cannot could couldn't will won't would wouldn't unable able allow allowed permitted comfortable position going feel rather prefer authorized authorised free something way outside beyond against",
-        "help assist answer respond reply provid discuss shar compl fulfil talk advi engag support offer giv comment cover address tell say speak weigh entertain accommodat opinion scope polic guideline rule remit do", "decline refuse",
+        "help assist answer respond reply provid discuss shar compl fulfil talk advi engag support offer giv comment cover address tell say speak weigh entertain accommodat opinion scope polic guideline rule remit do go subject topic matter question request information detail", "decline refuse",
     ),
-    "de": ("ich wir mir uns", "nicht kein keine keinen keinerlei nichts außerhalb", "kann können könnte darf dürfen möchte möchten will werde werden mag außerhalb imstande lage", "helfen weiterhelfen behilflich beantwort antwort auskunft äußern besprech erfüll unterstütz geben diskutier eingehen sagen mitteil sprechen beraten teilen", "ablehnen verweigern"),
-    "fr": ("je j nous", "pas ne n jamais aucun aucune hors impossible", "peux pouvons puis pourrai saurais veux souhaite préfère mesure autorisé autorisée droit hors impossible", "aide répond réponse fournir discut partag parler traiter donner satisf comment assist cadre compétence prononcer conseil", "refuse refuser refusons décline décliner déclinons"),
-    "es": ("puedo podemos debo yo me nos soy estoy tengo prefiero voy mi", "no nunca ningún ninguna fuera imposible", "puedo podemos permitido permite autorizado autorizada condiciones capaz prefiero voy fuera imposible", "ayud respond respuest contest proporcion compart habl discut dar ofrec atender cumpl coment alcance opin inform", "rechazar rechazo declinar declino negarme"),
-    "it": ("posso possiamo devo io mi ci sono preferisco mio", "non mai nessun nessuna fuori impossibile", "posso possiamo grado autorizzato autorizzata permesso preferisco fuori impossibile", "aiut rispond rispost forni discut condivid parl assist dare ambito soddisf comment", "rifiutare rifiuto declinare declino"),
-    "pt": ("posso podemos devo eu me nos sou estou consigo tenho meu", "não nunca nenhum nenhuma fora impossível", "posso podemos consigo autorizado autorizada permitido capaz fora impossível", "ajud respond respost fornec discut compart fal dar oferec atend assist âmbito coment", "recusar recuso declinar declino"),
-    "nl": ("ik wij we mij ons mijn", "niet geen nooit buiten", "kan kunnen mag mogen wil zal buiten staat", "help beantwoord antwoord bespreken delen geven verstrek bijstaan ingaan voldoen bereik zeggen", "weigeren weiger afwijzen"),
-    "ru": ("я мы мне нам могу можем буду моих моей", "не нельзя невозможно вне", "могу можем буду нельзя невозможно вправе право можно вне хочу хотел", "помо отве обсужд предостав дел рассказ выполн коммент давать дать говор подсказ консульт компетенц сказать совет", "отказать отказаться отказываюсь отклонить отклоняю"),
-    "uk": ("я ми мені нам можу можемо буду", "не неможливо поза", "можу можемо буду неможливо вправі поза", "допом відпов обговор нада діли розпов викон комент говор дати порад", "відмовити відмовитися відмовляюся відхилити"),
-    "pl": ("mogę możemy jestem muszę umiem mam moich ja my mi", "nie nigdy poza", "mogę możemy umiem stanie wolno poza", "pomóc pomoc odpowied udziel omawia omówi podać podzieli rozmawia komentow zakres spełni doradz", "odmówić odmawiam odrzucić"),
+    "de": ("ich wir mir uns", "nicht kein keine keinen keinerlei nichts außerhalb", "kann können könnte darf dürfen möchte möchten will werde werden mag außerhalb imstande lage", "helfen weiterhelfen behilflich beantwort antwort auskunft äußern besprech erfüll unterstütz geben diskutier eingehen sagen mitteil sprechen beraten teilen angaben auskünfte informationen stellung thema frage anfrage", "ablehnen verweigern"),
+    "fr": ("je j nous", "pas ne n jamais aucun aucune hors impossible", "peux pouvons puis pourrai saurais veux souhaite préfère mesure autorisé autorisée droit hors impossible", "aide répond réponse fournir discut partag parler traiter donner satisf comment assist cadre compétence prononcer conseil renseign information sujet question demande", "refuse refuser refusons décline décliner déclinons"),
+    "es": ("puedo podemos poder debo yo me nos soy estoy tengo prefiero voy mi", "no nunca ningún ninguna fuera imposible", "puedo podemos poder posible permitido permite autorizado autorizada condiciones capaz prefiero voy fuera imposible", "ayud respond respuest contest proporcion compart habl discut dar ofrec atender cumpl coment alcance opin inform tema pregunta solicitud", "rechazar rechazo declinar declino negarme"),
+    "it": ("posso possiamo devo io mi ci sono preferisco mio", "non mai nessun nessuna fuori impossibile", "posso possiamo grado autorizzato autorizzata permesso preferisco fuori impossibile", "aiut rispond rispost forni discut condivid parl assist dare ambito soddisf comment informazioni argomento domanda richiesta", "rifiutare rifiuto declinare declino"),
+    "pt": ("posso podemos devo eu me nos sou estou consigo tenho meu", "não nunca nenhum nenhuma fora impossível", "posso podemos consigo autorizado autorizada permitido capaz fora impossível", "ajud respond respost fornec discut compart fal dar oferec atend assist âmbito coment informaç assunto pergunta pedido", "recusar recuso declinar declino"),
+    "nl": ("ik wij we mij ons mijn", "niet geen nooit buiten", "kan kunnen mag mogen wil zal buiten staat", "help beantwoord antwoord bespreken delen geven verstrek bijstaan ingaan voldoen bereik zeggen informatie onderwerp vraag verzoek", "weigeren weiger afwijzen"),
+    "ru": ("я мы мне нам могу можем буду моих моей", "не нельзя невозможно вне", "могу можем буду нельзя невозможно вправе право можно вне хочу хотел", "помо отве обсужд предостав дел рассказ выполн коммент давать дать говор подсказ консульт компетенц сказать совет сведени информац тему вопрос запрос", "отказать отказаться отказываюсь отклонить отклоняю"),
+    "uk": ("я ми мені нам можу можемо буду", "не неможливо поза", "можу можемо буду неможливо вправі поза", "допом відпов обговор нада діли розпов викон комент говор дати порад інформац тему питання запит", "відмовити відмовитися відмовляюся відхилити"),
+    "pl": ("mogę możemy jestem muszę umiem mam moich ja my mi", "nie nigdy poza", "mogę możemy umiem stanie wolno poza", "pomóc pomoc odpowied udziel omawia omówi podać podzieli rozmawia komentow zakres spełni doradz informac temat pytanie prośb", "odmówić odmawiam odrzucić"),
 }
 # The same for scripts without spaces, as patterns.
 UNSPACED = (r"(?:无法|不能|不可以|没办法|不便|無法|不方便)[^。！？]{0,12}(?:回答|帮助|帮忙|提供|协助|讨论|满足|幫助|協助|討論|分享|处理)", r"(?:拒绝|拒絕)(?:回答|提供|协助)", r"(?:お答え|回答|お手伝い|対応|お応え|提供|お話し?)[^。！？]{0,6}(?:でき(?:ません|ない|かねます)|いたしかねます|しかねます|控え)", r"(?:도와|답변|대답|제공|도움)[^.!?]{0,12}(?:수 없|드릴 수 없|어렵)")

@@ -70,3 +70,54 @@ def test_defects_of_a_table(spark, vocabulary):
     got = P.defects(df, trained=trained, vocabulary_path=vocabulary)
     assert sorted(map(tuple, got.collect())) == [(1, "empty"), (4, "echo")]
     assert P.defects(df.where("false"), vocabulary_path=vocabulary).count() == 0
+
+
+# Wordings that were looked at while the templates were made: of the first 26, before they were used for that, 22 were found.
+SEEN_REFUSALS = [
+    "I'm sorry, but I'm not able to go into that subject.", "This is beyond what I can help you with.", "I won't respond to questions of this kind.", "We cannot comment on individual cases.", "I'd prefer not to give an opinion on that.",
+    "I am not permitted to share internal details.", "Apologies, I don't feel able to advise on this.", "That request is outside our scope.", "I must refuse to answer.", "I'm unable to tell you that.",
+    "Leider kann ich dir dabei nicht behilflich sein.", "Dazu darf ich keine Angaben machen.", "Ich möchte mich dazu nicht äußern.", "Malheureusement, je ne peux pas traiter cette question.", "Nous ne sommes pas en mesure de vous conseiller.",
+    "Lamento no poder ayudarte con esta solicitud.", "No me es posible comentar ese tema.", "К сожалению, я не вправе это обсуждать.", "Простите, мы не можем предоставить такие сведения.", "Mi dispiace, non sono in grado di rispondere.",
+    "Infelizmente não posso comentar esse assunto.", "Niestety nie mogę udzielić takiej informacji.", "На жаль, я не можу вам допомогти.", "很抱歉，我不能讨论这个话题。", "恐れ入りますが、その件には対応いたしかねます。", "Helaas kan ik daar geen antwoord op geven.",
+]
+# Wordings that weren't: they are only measured.
+HELD_OUT_REFUSALS = [
+    "Sorry, I can't get into that.", "I'm afraid that's a topic I can't cover.", "We don't offer guidance on this.", "I'm not going to engage with that question.", "It would be better if I didn't say anything about this.",
+    "That's something I am not authorised to discuss.", "I will not provide a response to this request.", "My rules don't allow me to answer.", "Da kann ich leider nicht weiterhelfen.", "Ich bin nicht befugt, darüber zu sprechen.",
+    "Diese Frage möchte ich lieber nicht beantworten.", "Je regrette, je n'ai pas le droit d'en parler.", "Je ne souhaite pas répondre à cela.", "Prefiero no hablar de ese asunto.", "Me temo que no puedo darte esa información.",
+    "Я не хотел бы отвечать на этот вопрос.", "Увы, я не могу дать совет по этой теме.", "Purtroppo non mi è permesso parlarne.", "Lamento, mas não me é permitido responder.", "Nie jestem w stanie odpowiedzieć na to pytanie.", "对不起，这个问题我无法提供帮助。", "申し訳ございませんが、お手伝いできません。",
+]
+ANSWERS = [
+    "It cannot provide more than five handles.", "The worker does not answer while it is warm.", "We measure it twice, because the index is not stable.", "I keep the ledger close, so no handle is lost.", "No, my worker is narrow.",
+    "Der Knoten kann nicht antworten, wenn er voll ist.", "Ich messe nicht zweimal.", "Le serveur ne répond pas après trois appels.", "El servidor no responde después de tres llamadas.", "Сервер не отвечает на вызовы.",
+    "I would not use the narrow one; take the wide one instead.", "Il server non risponde.", "服务器无法启动，因为磁盘已满。", "Not with this version.", "Nie działa.", "I have not seen it help; the index stays cold.",
+    "My advice: do not open the second one.", "You may not enter before nine.", "O servidor não fecha a janela.", "I'm sorry for the delay. The worker is warm now.",
+]
+
+
+def test_refusals():
+    assert all(map(P.is_refusal, SEEN_REFUSALS))
+    found = [t for t in HELD_OUT_REFUSALS if P.is_refusal(t)]
+    assert len(found) >= 0.8 * len(HELD_OUT_REFUSALS), set(HELD_OUT_REFUSALS) - set(found)
+    assert not [t for t in ANSWERS if P.is_refusal(t)]
+
+
+@pytest.mark.parametrize(
+    ("prompt", "payload", "want"),
+    [
+        (ASK, "工作者的索引太窄，所以每次调用都会变慢。", "wrong_language"), (ASK, "インデックスが狭いため、呼び出しのたびに遅くなります。", "wrong_language"), (ASK, "Il contatore è troppo grande perché il nodo non è più vuoto.", "wrong_language"),
+        (ASK, "O contador não está vazio porque os nós são mais lentos do que antes.", "wrong_language"), (ASK, "Лічильник завеликий, тому що він ще не порожній і його вже ніхто не читає.", "wrong_language"),
+        (ASK, "Licznik jest za duży, ponieważ nie jest jeszcze pusty i się nie zmienia.", "wrong_language"), ("Чому лічильник ще не порожній і хто його читає?", "Счётчик слишком большой, потому что он ещё не пустой, и его никто не читает.", "wrong_language"),
+        ("Чому лічильник ще не порожній?", "Лічильник завеликий, тому що його ще ніхто не читає.", None), ("索引为什么这么窄？", "因为工作者每次只读取一个段。", None), ("Perché il contatore non è vuoto?", "Perché il nodo della coda non è più fermo.", None),
+        ("Answer in Chinese: " + ASK, "工作者的索引太窄，所以每次调用都会变慢。", None), (ASK, "func a(v []int) int {\n    for _, v := range v {\n        v += v\n    }\n}", None),
+    ],
+)
+def test_more_languages(prompt, payload, want):
+    assert P.defect(prompt, payload, False) == want
+
+
+def test_echo_is_decided_by_coverage():
+    long = "The plain worker keeps its ledger close to the other one. " + ASK + " Visitors reach the mill by the old road behind the narrow garden, and nobody counts the steps."
+    assert P.defect(long, ASK, False) == "echo"  # one run of twelve words or more, though the prompt is longer
+    assert P.defect(long, "the plain worker keeps its ledger", False) is None
+    assert P.defect(ASK, "​" * 90 + "N/A", False) == "empty"
