@@ -43,18 +43,43 @@ def _room(limit: int, previous: np.ndarray | int, elapsed: int, width: int) -> n
     return room - (np.floor(room - 1 + faded) >= limit)
 
 
-def admit(events: DataFrame, key: str, at: str, row_id: str, width: int, limit: int) -> DataFrame:
+def admit(events: DataFrame, key: str, at: str, row_id: str, width: int, limit: int, hot_rows: int = 1_000_000) -> DataFrame:
     """(row_id, key, admitted): decisions for each event in order of (``at`` in milliseconds, row_id) per client.
 
-    Windows of a client follow one another from its first event on, and a window knows of the one before only how many it
-    admitted, from 0 to ``limit``. So each window is reckoned for all of these at once, by itself and from the counts of
-    its milliseconds; then only one row for each window is taken in order of time; then each window is reckoned with what
-    came before it. So a client with a third of all rows is spread over its windows, and a window has at most ``width``
-    rows. Rows with a null key or time are left out.
+    A decision depends on the earlier ones of its client. Where no client has over ``hot_rows`` events each one's stream
+    through a task in order; else clients are spread over their windows (``_by_windows``), with the same result. Rows with
+    a null key or time are left out.
     """
     ship(events.sparkSession)
-    kind = dict(events.dtypes)[key]
     rows = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(row_id, key, F.col(at).alias("_at"))
+    most = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return _by_windows(rows, key, row_id, width, limit) if most > hot_rows else _by_clients(rows, key, row_id, width, limit)
+
+
+def _by_clients(rows: DataFrame, key: str, row_id: str, width: int, limit: int) -> DataFrame:
+    """Clients in order, each by its counter, which keeps four numbers."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, window = None, None
+        for b in batches:
+            out = []
+            for k, t in zip(b[key], b["_at"], strict=True):
+                if window is None or k != last:
+                    last, window = k, Window(width, limit)
+                out.append(window.admit(t))
+            yield pd.DataFrame({row_id: b[row_id], key: b[key], "admitted": out})
+
+    schema = f"`{row_id}` {dict(rows.dtypes)[row_id]}, `{key}` {dict(rows.dtypes)[key]}, admitted boolean"
+    return rows.repartition(key).sortWithinPartitions(key, "_at", row_id).mapInPandas(fold, schema)
+
+
+def _by_windows(rows: DataFrame, key: str, row_id: str, width: int, limit: int) -> DataFrame:
+    """Windows of a client follow one another from its first event on, and a window knows of the one before only how many it
+    admitted, from 0 to ``limit``. So each window is reckoned for all of these at once, by itself and from the counts of
+    its milliseconds; then only one row for each window is taken in order of time; then each window is reckoned with what
+    came before it. A window has at most ``width`` rows, and a client with a third of all events is spread over its own.
+    """
+    kind = dict(rows.dtypes)[key]
     starts = rows.groupBy(key).agg(F.min("_at").alias("_start"))
     rows = lookup(rows, starts, key)
     since = F.col("_at") - F.col("_start")

@@ -15,8 +15,9 @@ def brute(rows, width, limit):
     return out
 
 
+@pytest.mark.parametrize("hot_rows", [1_000_000, 100])
 @pytest.mark.parametrize(("width", "limit"), [(100, 1), (100, 7), (1000, 20), (7, 3)])
-def test_admission_with_a_hot_client(spark, width, limit):
+def test_admission_with_a_hot_client(spark, width, limit, hot_rows):
     """A third of the rows come from one client; many fall on one millisecond; some windows stay empty."""
     rng = random.Random(width + limit)
     rows, at = [], {}
@@ -26,9 +27,9 @@ def test_admission_with_a_hot_client(spark, width, limit):
         rows.append((i, k, at[k]))
     rng.shuffle(rows)
     df = spark.createDataFrame([*rows, (9001, None, 5), (9002, "hot", None)], "id bigint, k string, t bigint")
-    got = {r["id"]: r["admitted"] for r in A.admit(df, "k", "t", "id", width, limit).collect()}
+    got = {r["id"]: r["admitted"] for r in A.admit(df, "k", "t", "id", width, limit, hot_rows).collect()}
     assert got == brute(rows, width, limit) and set(got.values()) == {True, False}
-    assert A.admit(df.where("false"), "k", "t", "id", width, limit).count() == 0
+    assert A.admit(df.where("false"), "k", "t", "id", width, limit, hot_rows).count() == 0
 
 
 def test_fifo_refuses_when_full(spark):
