@@ -196,9 +196,9 @@ def kmeanspp_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector by centroids that mini-batches of a bounded sample have moved."""
     v = _vectors(spark, sf_dir)
-    got = ivf.minibatch(v, ivf.clusters_for(v.count()))
-    return got.select("cluster_id", F.posexplode("v").alias("dim", "value"))
+    return ivf.assign(v, ivf.minibatch(v, ivf.clusters_for(v.count()))).select("vec_id", "cluster_id", F.round("score", 6).alias("score"))
 
 
 def recalibration_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:

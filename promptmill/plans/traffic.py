@@ -171,10 +171,11 @@ def payload_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored payloads and whether their node still points to them (its last one does)."""
-    p = _payloads(spark, sf_dir)
-    last = p.groupBy("node_id").agg(F.max("set_id").alias("set_id")).withColumn("live", F.lit(True))
-    return p.select("set_id", "node_id").join(last, ["node_id", "set_id"], "left").select("set_id", "node_id", F.coalesce("live", F.lit(False)).alias("live"))
+    """Stored payloads and whether their node still points to their offset (it points to its last one's)."""
+    p = _payloads(spark, sf_dir).select("set_id", "node_id", "n_bytes")
+    p = p.join(lifecycle.placement(p.select("set_id", "n_bytes"), "set_id", "n_bytes").select("set_id", "voffset"), "set_id")
+    nodes = p.groupBy("node_id").agg(F.max_by("voffset", "set_id").alias("pointer"))
+    return lookup(p, nodes, "node_id").select("set_id", "node_id", (F.col("voffset") == F.col("pointer")).alias("live"))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,22 @@ def test_manifest(tmp_path):
         load({"repo_id": "a/b"})
 
 
+def test_tables_over_the_bound_are_not_broadcast(spark):
+    """Beyond BROADCAST_ROWS keys the joins are shuffled, and the rows are the same."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        for n, broadcast in ((scale.BROADCAST_ROWS + 1000, False), (1000, True)):
+            left = spark.range(n).select(F.col("id").alias("k"), F.col("id").alias("x"))
+            right = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
+            got = scale.salted_pairs(left, right, "k")
+            assert got.where("y = 2 * x").count() == n
+            assert ("BroadcastHashJoin" in got._jdf.queryExecution().sparkPlan().toString()) is broadcast
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_each_branch_of_validation(spark):
     rows = [
         ("", "BLANK"), ("\u3000\u00a0", "BLANK"), (None, None), ("{", "INVALID_JSON"), ("[1]", "NOT_OBJECT"), ('"x"', "NOT_OBJECT"), ('{"prompt": "a"}', "MISSING_KEYS"), ('{"prompt": 1, "x": 2}', "MISSING_KEYS"),
