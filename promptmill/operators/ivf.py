@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TOP_K
@@ -97,6 +97,26 @@ def capacity_positions(assigned: DataFrame, width: int = 50_000) -> DataFrame:
     return running(assigned.select("vec_id", "cluster_id"), ["cluster_id"], "vec_id", F.lit(1), "pos", width)
 
 
+def _draw(*parts: Column) -> Column:
+    """A pseudo-random whole number below 2 ** 32 from the MD5 of the parts."""
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10).cast("bigint")
+
+
+def cluster_sample(assigned: DataFrame, n: int, width: int = 50_000) -> DataFrame:
+    """(draw, cluster_id, vec_id): ``n`` draws with replacement, first of a cluster, each as likely, then of a member of it.
+
+    So members of small clusters are drawn more often. ``assigned`` has (vec_id, cluster_id); no vectors give no draws.
+    """
+    sizes = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    every = [(i, r["cluster_id"], r["size"]) for i, r in enumerate(sizes.orderBy("cluster_id").limit(MOST_CLUSTERS).collect())]
+    spark = assigned.sparkSession
+    sizes = spark.createDataFrame(every, f"place bigint, cluster_id {dict(assigned.dtypes)['cluster_id']}, size bigint")
+    draw = F.col("draw").cast("string")
+    drawn = spark.range(n).select(F.col("id").alias("draw")).withColumn("place", _draw(draw) % max(len(every), 1))
+    drawn = drawn.join(F.broadcast(sizes), "place").select("draw", "cluster_id", (_draw(F.lit("m"), draw) % F.col("size") + 1).alias("pos"))
+    return drawn.join(capacity_positions(assigned, width), ["cluster_id", "pos"]).select("draw", "cluster_id", "vec_id")
+
+
 def weighted_pick(weights: DataFrame, share: float, width: int = 50_000) -> DataFrame:
     """(vec_id, total): the smallest id at which the running weight reaches ``share`` of the total (one row)."""
     total = weights.agg(F.sum("w")).first()[0] or 0.0

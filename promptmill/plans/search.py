@@ -201,6 +201,12 @@ def kmeans_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.assign(v, ivf.minibatch(v, ivf.clusters_for(v.count()))).select("vec_id", "cluster_id", F.round("score", 6).alias("score"))
 
 
+def cluster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand draws of a cluster and then of one of its vectors."""
+    v = _vectors(spark, sf_dir)
+    return ivf.cluster_sample(ivf.assign(v, _centroids(v)), 1000)
+
+
 def recalibration_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epochs of 1000 ingests each, with their first and last event."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
@@ -300,6 +306,10 @@ g AS (SELECT sixths, query_id, vec_id, row_number() OVER (PARTITION BY sixths, q
   SELECT n.sixths, q.vec_id AS query_id, m.vec_id, round(list_dot_product(q.v, m.v), 12) AS s FROM n JOIN p q ON q.r <= n.nprobe JOIN a m USING (cluster_id) WHERE q.vec_id % 100 = 0))
 SELECT sixths::INT AS sixths, round(count(g.vec_id) / count(*), 6) AS recall FROM n CROSS JOIN t LEFT JOIN (SELECT * FROM g WHERE rnk <= 10) g USING (sixths, query_id, vec_id) GROUP BY 1""",
     "ivf_capacity_overflow": f"WITH {_V}, {_C}, {_assign('a', 'v', 'c')} SELECT vec_id, cluster_id, pos FROM (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY vec_id) AS pos FROM a) WHERE pos > 20",
+    "cluster_sample": f"""WITH {_V}, {_C}, {_assign("a", "v", "c")}, m AS (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY vec_id) - 1 AS pos FROM a),
+z AS (SELECT cluster_id, count(*) AS size, row_number() OVER (ORDER BY cluster_id) - 1 AS place FROM a GROUP BY 1),
+g AS (SELECT i AS draw, ('0x' || substr(md5(i::VARCHAR), 1, 8))::BIGINT % (SELECT count(*) FROM z) AS place, ('0x' || substr(md5('m' || i), 1, 8))::BIGINT AS k FROM (SELECT unnest(range(1000)) AS i))
+SELECT g.draw, z.cluster_id, m.vec_id FROM g JOIN z USING (place) JOIN m ON m.cluster_id = z.cluster_id AND m.pos = g.k % z.size""",
     "kmeans_lloyd_step": f"WITH {_V}, {_C}, {_LLOYD} SELECT cluster_id, dim::INT AS dim, round(x, 6) + 0.0::DOUBLE AS value FROM l",
     "kmeans_movement": f"WITH {_V}, {_C}, {_LLOYD} SELECT round(sum(2 * (1 - list_dot_product(c.v, lv.v))), 6) AS movement FROM c JOIN lv USING (cluster_id)",
     "ivf_reassign_diff": f"WITH {_V}, {_C}, {_LLOYD}, {_assign('z', 'v', 'lv')} SELECT vec_id, a.cluster_id AS old_cluster, z.cluster_id AS new_cluster FROM a JOIN z USING (vec_id) WHERE a.cluster_id <> z.cluster_id",
@@ -329,6 +339,6 @@ QUERIES = {
     for f in (
         topk_exact, topk_threshold, lookup_decision, lookup_decision_nprobe1, lookup_recall, lookup_decision_exact, lookup_replay, ivf_bootstrap, ivf_assign, ivf_cluster_sizes, ivf_probe_topk, ivf_probe_topk_nprobe1,
         two_tier_candidates, two_tier_candidates_nprobe1, ivf_recall,
-        ivf_capacity_overflow, kmeans_lloyd_step, kmeans_movement, ivf_reassign_diff, kmeanspp_step, kmeans_minibatch, recalibration_trigger, vector_health, semantic_near_dups, semantic_near_dups_all,
+        ivf_capacity_overflow, kmeans_lloyd_step, kmeans_movement, ivf_reassign_diff, kmeanspp_step, kmeans_minibatch, cluster_sample, recalibration_trigger, vector_health, semantic_near_dups, semantic_near_dups_all,
     )
 }

@@ -130,3 +130,11 @@ def test_encoder_is_the_same_in_every_partition(spark):
 def test_mean_pool(spark):
     df = spark.createDataFrame([(1, [1.0, 3.0]), (1, [3.0, 5.0]), (2, [1.0, 1.0])], "id bigint, v array<double>")
     assert {r["id"]: r["v"] for r in encode.mean_pool(df, "id", "v").collect()} == {1: [2.0, 4.0], 2: [1.0, 1.0]}
+
+
+def test_cluster_sample_favours_small_clusters(spark):
+    df = spark.createDataFrame([(i, 5 if i < 90 else 7) for i in range(93)], "vec_id bigint, cluster_id int")
+    got = ivf.cluster_sample(df, 600).collect()
+    assert len(got) == 600 == len({r["draw"] for r in got}) and all((r["vec_id"] < 90) == (r["cluster_id"] == 5) for r in got)
+    assert 230 < sum(r["cluster_id"] == 7 for r in got) < 370
+    assert ivf.cluster_sample(df.where("false"), 10).count() == 0
